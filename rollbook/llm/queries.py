@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from rollbook.llm import residue
-from rollbook.work import load
+from rollbook.llm import mixing, residue, tokenizing
+from rollbook.work import cut, load
+
+
+def _mix(spark, sf_dir):
+    targets = load(spark, sf_dir, "mix_targets")
+    sizes = cut(mixing.document_sizes(load(spark, sf_dir, "documents"), targets), "p9-sizes")
+    return mixing.mix(sizes, targets), targets, sizes
+
 
 QUERIES = {
     "p5_found": lambda s, d: residue.find_residue(load(s, d, "members")),
+    "p8_ids": lambda s, d: tokenizing.encode(load(s, d, "documents")),
+    "p8_texts": lambda s, d: tokenizing.decode(tokenizing.encode(load(s, d, "documents"))),
+    "p9_mix": lambda s, d: _mix(s, d)[0],
+    "p9_shares": lambda s, d: mixing.shares(*_mix(s, d)),
+}
+SQL: dict[str, str] = {
+    "p8_texts": "select doc_id, coalesce(text, '') as text from documents",
 }
-SQL: dict[str, str] = {}
