@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollbook.llm import mixing, residue, tokenizing
+from rollbook.llm import languages, mixing, residue, tokenizing
 from rollbook.work import cut, load
 
 
@@ -12,11 +12,19 @@ def _mix(spark, sf_dir):
     return mixing.mix(sizes, targets), targets, sizes
 
 
+def _segments(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return languages.classify(docs, languages.train(docs))
+
+
 QUERIES = {
     "p5_found": lambda s, d: residue.find_residue(load(s, d, "members")),
     "p8_ids": lambda s, d: tokenizing.encode(load(s, d, "documents")),
     "p8_texts": lambda s, d: tokenizing.decode(tokenizing.encode(load(s, d, "documents"))),
     "p9_mix": lambda s, d: _mix(s, d)[0],
+    "p10_found": lambda s, d: languages.found(languages.by_document(_segments(s, d))),
+    "p10_segments": lambda s, d: _segments(s, d),
+    "p10_documents": lambda s, d: languages.by_document(_segments(s, d)),
     "p9_shares": lambda s, d: mixing.shares(*_mix(s, d)),
 }
 SQL: dict[str, str] = {

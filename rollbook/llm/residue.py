@@ -116,7 +116,7 @@ _MESSAGE = r"(?is)^(?:" + "|".join(f"(?:{m})" for m in MESSAGES) + ")"
 
 def _bare(c: Column) -> Column:
     """Without zero-width characters, markup tags and outer white space, quotes read as written."""
-    s = F.regexp_replace(c, r"[​‌‍﻿­]", "")
+    s = F.regexp_replace(c, r"[\u200b\u200c\u200d\ufeff\u00ad]", "")
     s = F.regexp_replace(s, r"(?i)</?(?:p|br|b|i|em|strong|span|div|h[1-6])\b[^<>]*>|&nbsp;", " ")
     return F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"^[ >*#\-–]+| +$", "")
 
