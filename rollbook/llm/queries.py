@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollbook.llm import languages, mixing, residue, tokenizing
+from rollbook.llm import addresses, languages, mixing, residue, tokenizing
 from rollbook.work import cut, load
 
 
@@ -19,6 +19,7 @@ def _segments(spark, sf_dir):
 
 QUERIES = {
     "p5_found": lambda s, d: residue.find_residue(load(s, d, "members")),
+    "p7_found": lambda s, d: addresses.same_location(load(s, d, "members")),
     "p8_ids": lambda s, d: tokenizing.encode(load(s, d, "documents")),
     "p8_texts": lambda s, d: tokenizing.decode(tokenizing.encode(load(s, d, "documents"))),
     "p9_mix": lambda s, d: _mix(s, d)[0],
