@@ -62,7 +62,7 @@ def _lenient(body: pd.Series) -> pd.Series:
 def parsed(dumps: DataFrame) -> DataFrame:
     """One row per ``dump_id`` with the body as a variant; a file delivered again counts once (the first delivery)."""
     one = dumps.groupBy("dump_id").agg(F.min_by(F.struct("source_url", "scraped_at", "body"), F.struct("received_at", "body")).alias("d"))
-    body = F.regexp_replace("d.body", r"^[﻿\s]+", "")
+    body = F.regexp_replace("d.body", r"^[\ufeff\s]+", "")
     v = F.try_parse_json(body)
     got = one.select("dump_id", "d.source_url", "d.scraped_at", body.alias("body"), v.alias("v"))
     return got.withColumn("v", F.when(F.col("v").isNotNull() | F.col("body").isNull(), F.col("v")).otherwise(F.try_parse_json(_lenient(F.when(F.col("v").isNull(), F.col("body")))))).drop("body")

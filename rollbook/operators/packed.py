@@ -39,7 +39,7 @@ _STRONG = re.compile(r"(?:^|(?<=\s))\(?\d{1,2}[.)]\s+|\s*(?:[;|\t\r\n•·‣▪
 _WEAK = re.compile(r"\s*[,/]\s*")
 _QUOTED = re.compile(r"""(?<![^\s,;|/\t\n\[])(["“])([^"“”]+)["”](?![^\s,;|/\t\n\]])""")
 _LISTED = re.compile(r"""(["'])(.*?)(?<!\\)\1\s*(?=,|$)""", re.S)
-_EDGE = " \t\r\n ​﻿\"'“”•·"
+_EDGE = " \t\r\n\u00a0\u200b\ufeff\"'“”•·"
 #: Any sign that a string may hold several values; the cheap filter before Python.
 MAYBE = r"[,/;|\t\r\n•·‣▪◦]|^\s*\[|\d[.)]\s"
 
@@ -54,7 +54,7 @@ def chunks(text: str | None) -> list[tuple[str, bool]]:
     """(chunk, weak) of one string; a weak chunk may still hold several values."""
     if text is None:
         return []
-    s = text.strip(" \t\r\n ​﻿")
+    s = text.strip(" \t\r\n\u00a0\u200b\ufeff")
     if len(s) > 1 and s[0] == "[" and s[-1] == "]":
         inner = s[1:-1].strip()
         got = _LISTED.findall(inner)

@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +57,18 @@ def drop_cut(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors that lack this package on their path a copy of it, once per session."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or spark.sparkContext.master.startswith("local["):
+        return
+    _SHIPPED.add(app)
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="rollbook-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/rollbook_package", "zip", here.parent, here.name))
+
+
 #: A key with more than this share of all rows is hot; there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 1 / 1000
 
@@ -75,4 +89,4 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, tot
 
 def blank(c: Column) -> Column:
     """Null, or nothing but white space of any kind."""
-    return c.isNull() | (F.regexp_replace(c, r"(?U)[\s​﻿]+", "") == "")
+    return c.isNull() | (F.regexp_replace(c, r"(?U)[\s\u200b\ufeff]+", "") == "")
