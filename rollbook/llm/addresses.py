@@ -57,7 +57,7 @@ def plain(s: str) -> str:
     """Lower case, no accents, one kind of blank; line ends, semicolons and spaced dashes read as commas."""
     if not s.isascii():
         s = unicodedata.normalize("NFKD", s)
-        s = "".join(c for c in s if not unicodedata.combining(c) and c not in "​‌‍﻿­")
+        s = "".join(c for c in s if not unicodedata.combining(c) and c not in "\u200b\u200c\u200d\ufeff\u00ad")
     s = re.sub(r"\s*[\r\n;|]+\s*|\s+[-–—]\s+", ", ", s.lower())
     return re.sub(r"\s+", " ", s).strip(" ,.")
 

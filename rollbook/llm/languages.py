@@ -45,7 +45,7 @@ NAMES = {
 NO_LANGUAGE = ("", "und", "xx", "n/a", "na", "unknown", "none", "null", "mul", "zxx", "mis", "other", "?", "-")
 
 _NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\S+|<[^<>]{1,200}>|&[a-z#0-9]{2,8};|[{\[]\s*\"[^\n]*|```.*?```|[\w-]+(?:\.[\w-]+)+/\S*", re.S)
-_ENDS = re.compile(r"(?<=[.!?…])[\s\"'”’»)]+|(?<=[。！？])\s*|[\r\n  ]+|\s*\|\s*")
+_ENDS = re.compile(r"(?<=[.!?…])[\s\"'”’»)]+|(?<=[。！？])\s*|[\r\n\u2028\u2029]+|\s*\|\s*")
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af豈-\ufaff]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _LETTER = re.compile(r"[^\W\d_]")

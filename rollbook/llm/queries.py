@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollbook.llm import addresses, languages, mixing, residue, tokenizing
+from rollbook.llm import addresses, entities, languages, linkage, mixing, residue, survivors, tokenizing
 from rollbook.work import cut, load
 
 
@@ -17,7 +17,19 @@ def _segments(spark, sf_dir):
     return languages.classify(docs, languages.train(docs))
 
 
+def _businesses(spark, sf_dir):
+    members = load(spark, sf_dir, "members")
+    return members, cut(entities.businesses(members), "businesses")
+
+
 QUERIES = {
+    "p1_found": lambda s, d: survivors.survivors(*_businesses(s, d), load(s, d, "directories")).select("group_id", "field", "member_id"),
+    "p1_fused": lambda s, d: survivors.survivors(*_businesses(s, d), load(s, d, "directories")),
+    "p1_sources": lambda s, d: survivors.sources(*_businesses(s, d), load(s, d, "directories")),
+    "p2_found": lambda s, d: linkage.linked(*_businesses(s, d), load(s, d, "registry_members")).select("member_id", "npi"),
+    "p2_matches": lambda s, d: linkage.linked(*_businesses(s, d), load(s, d, "registry_members")),
+    "p3_found": lambda s, d: entities.variants(*_businesses(s, d)),
+    "p1_businesses": lambda s, d: _businesses(s, d)[1],
     "p5_found": lambda s, d: residue.find_residue(load(s, d, "members")),
     "p7_found": lambda s, d: addresses.same_location(load(s, d, "members")),
     "p8_ids": lambda s, d: tokenizing.encode(load(s, d, "documents")),
