@@ -32,6 +32,8 @@ from rollbook.work import cut, hot_join
 #: Factor in the likelihood for each weak delimiter that a value keeps inside.
 KEEP = 0.05
 ROUNDS = 4
+#: Rows of one chunk that count like a second chunk with the same value.
+OFTEN = 5
 #: A piece that no other string shows has this count.
 FLOOR = 0.01
 
@@ -217,7 +219,8 @@ def segment(strings: DataFrame) -> DataFrame:
     sure = sure.groupBy("key").agg(F.sum("n").alias("n"))
     weak = flat.where("weak").select("chunk", "n", arcs_udf("chunk").alias("arcs"))
     arc = cut(weak.select("chunk", "n", F.explode("arcs").alias("a")).select("chunk", F.col("n").alias("w"), "a.*"), "p4-arcs")
-    support = arc.groupBy("key").agg(F.countDistinct("chunk").alias("k"))
+    # seen in several different chunks, or again and again in one
+    support = arc.groupBy("key").agg((F.countDistinct("chunk") + (F.max("w") >= OFTEN).cast("int")).alias("k"))
     support = support.join(sure.select("key", F.lit(2).alias("s")), "key", "full").select("key", (F.coalesce("k", F.lit(0)) + F.coalesce("s", F.lit(0))).alias("k"))
     first = arc.groupBy("key").agg(F.sum(F.col("w") * F.pow(F.lit(KEEP), F.col("j") - F.col("i") - 1)).alias("n"))
     base = cut(sure.select("key", "n", F.lit(0.0).alias("m")).unionByName(first.select("key", F.lit(0.0).alias("n"), F.col("n").alias("m"))).groupBy("key").agg(F.sum("n").alias("n0"), F.sum("m").alias("m")).join(support, "key"), "p4-base")
