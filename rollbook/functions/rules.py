@@ -101,7 +101,10 @@ FIELD_ALIASES = {
 NAME_KEYS = ["name", "companyname", "company_name", "businessname", "organizationname", "title", "nam", "displayname", "providername", "practicename", "firmname", "restaurantname", "doctorname", "fullname", "full_name", "entityname", "officename", "attorneyname"]
 
 # Words that speak for or against a group of detail pages.
-DETAIL_WORDS = ["member", "profile", "detail", "listing", "directory", "business", "company", "provider", "vendor", "contact"]
+DETAIL_WORDS = [
+    "member", "profile", "company", "detail", "listing", "vendor", "supplier", "directory", "contact", "business", "organization", "firm", "provider",
+    "doctor", "physician", "dentist", "attorney", "lawyer", "restaurant", "clinic", "specialist", "consultant", "therapist",
+]
 OTHER_PAGE_WORDS = [
     "blog", "news", "article", "post", "press", "event", "class", "course", "training", "workshop", "seminar", "webinar", "calendar", "schedule",
     "job", "career", "faq", "help", "support", "about", "team", "staff", "board", "committee", "gallery", "photo", "video", "podcast", "product",

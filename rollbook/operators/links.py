@@ -9,9 +9,9 @@ from rollbook.functions import rules
 from rollbook.functions import text as t
 
 # Request parameters by what they mean.
-PAGE_PARAMS = ["page", "p", "pg", "pagenum", "pagenumber", "page_number", "offset", "start", "skip"]
-TERM_PARAMS = ["q", "query", "search", "keyword", "keywords", "term", "s", "name"]
-LETTER_PARAMS = ["letter", "alpha", "startswith", "starts_with", "initial"]
+PAGE_PARAMS = ["page", "pg", "pagenum", "pagenumber", "offset", "start", "skip", "p"]
+TERM_PARAMS = ["q", "query", "search", "keyword", "keywords", "term", "name", "category", "cat", "type", "specialty", "industry"]
+LETTER_PARAMS = ["letter", "alpha", "startswith", "char"]
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -65,9 +65,15 @@ def category_groups(links: DataFrame, low: int = 3, high: int = 200) -> DataFram
 
 
 def nav_filter(links: DataFrame) -> DataFrame:
-    """First of each usable, not too long address per site; documents and fragments are left out."""
-    ok = usable(F.col("href")) & (F.length("href") <= 300) & ~F.lower(t.path_of(F.col("href"))).rlike(r"\.(?:pdf|docx?|xlsx?|csv|zip|jpe?g|png|gif)$")
-    return links.where(ok).groupBy("site", "href").agg(F.min("pos").alias("pos"))
+    """(site, href, pos): the first of each address that could be navigated to.
+
+    Links have (site, pos, href, text). Mail, phone, fragments, documents, the page itself and links without
+    a text of at most 200 characters are left out.
+    """
+    h, n = F.col("href"), F.trim("text")
+    bad = h.rlike("^(?:mailto:|tel:|#)") | F.lower(h).rlike(r"\.(?:pdf|docx?|xlsx?|zip)$") | (~h.startswith("javascript:") & (F.regexp_replace(h, "/+$", "") == F.regexp_replace("site", "/+$", "")))
+    ok = (h != "") & ~bad & (n != "") & (F.length(n) <= 200)
+    return links.where(F.coalesce(ok, F.lit(False))).groupBy("site", "href").agg(F.min("pos").alias("pos"))
 
 
 def enumerable_params(urls: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ QUERIES = {
     "pager_param": lambda s, d: links.pager_param(_listing_urls(s, d)),
     "path_pager": lambda s, d: links.path_pager(_path_urls(s, d)),
     "category_groups": lambda s, d: links.category_groups(_m(s, d).where("category is not null and source_url is not null").select(F.col("source_url").alias("site"), F.concat("source_url", F.lit("/category/"), F.lower(F.regexp_replace("category", "[^A-Za-z]+", "-"))).alias("href"), F.col("category").alias("text"))),
-    "nav_filter": lambda s, d: links.nav_filter(_listing_urls(s, d)),
+    "nav_filter": lambda s, d: links.nav_filter(_listing_urls(s, d).withColumn("text", F.when(F.col("pos") % 4 > 0, F.col("href")))),
     "enumerable_params": lambda s, d: links.enumerable_params(_listing_urls(s, d).select(F.concat("href", F.lit("&q="), F.substring("href", 13, 1), F.lit("&letter=a")).alias("url"))),
     "dump_reader": _records,
     "dump_metadata": lambda s, d: captures.dump_metadata(load(s, d, "dump_files").select("dump_id", "body").distinct()),
@@ -232,7 +232,7 @@ SQL = {
     "link_templates": "with u as (select distinct member_id from members where website like 'http%' and member_id >= 100) select 'all' as site, 'https://x.example/members/{ID}' as template, count(*) as pages, count(*) + 10 as score from u having count(*) >= 3",
     "pager_param": _LIST + f", v as (select site, member_id_page as v from (select site, regexp_extract(href, 'page=(\\d+)$', 1)::bigint as member_id_page from l where href <> '' and not starts_with(href, '#'))) select site, 'page' as param, max(v) as last from v group by site having count(distinct v) >= 2 and bool_or(v = 2)",
     "path_pager": "with l as (select source_url as site, source_url || '/page/' as prefix, member_id % 9 + 1 as n from members where source_url is not null and not starts_with(source_url, '#')), g as (select site, prefix, max(n)::int as last from l group by 1, 2 having count(distinct n) >= 2 and bool_or(n = 2)) select site, prefix, '/all' as suffix, last from g",
-    "nav_filter": _LIST + " select site, href, min(pos) as pos from l where not starts_with(href, '#') group by 1, 2",
+    "nav_filter": _LIST + " select site, href, min(pos) as pos from l where pos % 4 > 0 and not starts_with(href, '#') group by 1, 2",
     "category_groups": "with l as (select source_url as site, source_url || '/category/' || lower(regexp_replace(category, '[^A-Za-z]+', '-', 'g')) as href, category as text from members where category is not null and source_url is not null), u as (select *, regexp_extract(href, '^(.*/)[^/]+/?$', 1) as prefix from l where not starts_with(href, '#')), g as (select site, prefix, count(distinct href) as n, count(distinct text) as x, avg(length(text)) as len from u group by 1, 2) select site, prefix, n as links, least(n, 30) + 20 * regexp_matches(lower(prefix), 'categor|industr|director|type|specialt|service')::int + 10 * (len < 30)::int as score from g where n between 3 and 200 and x >= 0.7 * n and prefix <> ''",
     "enumerable_params": _LIST + ", u as (select distinct href || '&q=' || substr(href, 13, 1) || '&letter=a' as url, substr(href, 13, 1) as q from l) select url, 'page' as param, 'page' as kind from u union all select url, 'letter', 'letter' from u union all select url, 'q', case when regexp_matches(q, '^[A-Za-z0-9]$') then 'letter' else 'term' end from u",
     "dump_metadata": _DUMPS + " select dump_id, j->'metadata'->>'source_url' as meta_source, (j->'metadata'->>'total_members')::bigint as total_members, coalesce((j->'metadata'->>'partial')::boolean, false) as partial from j",
