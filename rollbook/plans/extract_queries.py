@@ -82,6 +82,7 @@ _RKEY = record_queries._key("company_name") + " || coalesce('|' || nullif(regexp
 
 SQL = {
     "pipeline_gates": record_queries._CLEANED + f", m as (select source_url, count(*) as records, count(c.member_id) as cleaned, (avg(({record_queries._filled('members.phone')} or {record_queries._filled('members.website')} or {record_queries._filled('members.street_address')} or {record_queries._filled('members.mailing_address')} or {record_queries._MAIL.replace('contacts', 'members.contacts')})::int) < 0.05 or avg({record_queries._false('members.company_name')}::int) > 0.3) as garbage from members left join (select member_id from c) c using (member_id) where source_url is not null group by 1) select m.source_url, records, cleaned, garbage, coalesce(expected_count > 0 and cleaned >= 3 and expected_count <= 10 * greatest(records, cleaned) and cleaned < 0.8 * expected_count, false) as partial from m left join directories d on d.source_url = m.source_url",
+    "pipeline_export": record_queries._CONS.replace("with k0 as (select *,", "with good as (select source_url from members where source_url is not null group by 1 having not (avg((" + " or ".join(record_queries._filled(c) for c in ("phone", "website", "street_address", "mailing_address")) + f" or {record_queries._MAIL})::int) < 0.05 or avg({record_queries._false('company_name')}::int) > 0.3)), k0 as (select *,").replace(" from members), k as", " from members semi join good using (source_url)), k as") + " select source_url, count(*) as records from h group by 1",
     "pipeline_enrich": _LOC + f", r as (select {_RKEY} as k, arg_min({{'p': phone, 'f': fax}}, npi) as r from registry_members where company_name is not null group by 1), j as (select near.*, r.r as r from near left join r on r.k = {_RKEY.replace('company_name', 'near.company_name').replace('street_address', 'near.street_address')}) select member_id, 'healthcare' as vertical, coalesce(nullif(phone, ''), r.p) as phone, coalesce(nullif(fax, ''), r.f) as fax, case when r is not null and not (coalesce(phone <> '', false) and coalesce(fax <> '', false)) then 'enriched' else 'complete' end as status from j",
     "label_strip": f"select member_id, trim(regexp_replace(regexp_replace(case when company_name is not null then {_LABELLED} end, '(?i)^(?:phone|tel|telephone|fax|email|e-mail|website|web|url|address|street address|mailing address|category|type|specialty)\\s*:\\s*', ''), '(?i)\\(\\s*link\\s+(?:sends\\s+e-?mail|is\\s+external)\\s*\\)|\\(\\s*opens\\s+in\\s+(?:a\\s+)?new\\s+(?:tab|window)\\s*\\)', '', 'g'), ' ') as out from members",
     "phone_phrase": f"select member_id, case when {_D10} is not null then '\"(' || substr({_D10}, 1, 3) || ') ' || substr({_D10}, 4, 3) || '-' || substr({_D10}, 7, 4) || '\"' end as out from members",

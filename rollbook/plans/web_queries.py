@@ -237,6 +237,7 @@ SQL = {
     "enumerable_params": _LIST + ", u as (select distinct href || '&q=' || substr(href, 13, 1) || '&letter=a' as url, substr(href, 13, 1) as q from l) select url, 'page' as param, 'page' as kind from u union all select url, 'letter', 'letter' from u union all select url, 'q', case when regexp_matches(q, '^[A-Za-z0-9]$') then 'letter' else 'term' end from u",
     "dump_metadata": _DUMPS + " select dump_id, j->'metadata'->>'source_url' as meta_source, (j->'metadata'->>'total_members')::bigint as total_members, coalesce((j->'metadata'->>'partial')::boolean, false) as partial from j",
     "member_list_test": _REC + f", k as (select dump_id, pos, len(json_keys(rec)) as k, len(list_filter(json_keys(rec), lambda x: lower(x) in ({', '.join(chr(39) + w + chr(39) for w in rules.NAME_KEYS)}))) > 0 as named from r) select dump_id, count(*) as n, count(*) >= 3 and avg(named::int) filter (pos < 5) >= 0.5 and avg(k) filter (pos < 5) >= 5 as member_list from k group by 1",
+    "member_count": _REC + f", k as (select dump_id, pos, len(json_keys(rec)) as k, len(list_filter(json_keys(rec), lambda x: lower(x) in ({', '.join(chr(39) + w + chr(39) for w in rules.NAME_KEYS)}))) > 0 as named from r), g as (select dump_id, count(*) as n, count(*) >= 3 and avg(named::int) filter (pos < 5) >= 0.5 and avg(k) filter (pos < 5) >= 5 as ok from k group by 1) select sum(n)::bigint as records, count(*) filter (ok) as lists from g",
     "alias_resolve": _KV + " select dump_id, pos::int as pos, " + ", ".join(f"{_alias(keys)} as {f}" for f, keys in rules.FIELD_ALIASES.items()) + " from kv",
     "credential_scrub": "select member_id, member_id % 3 <> 2 as refused from members where source_url is not null and regexp_matches(source_url, '^https?://') union all select member_id, member_id % 3 = 1 or (member_id % 3 = 0 and regexp_matches(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://')) as refused from members where source_url is not null and not regexp_matches(source_url, '^https?://')",
     "doc_emails": "with e as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}\\b'), lambda x: lower(x)))) as email from documents where text like '%@%'), p as (select doc_id, email, split_part(email, '@', 1) as p from e), r as (select doc_id, email, row_number() over (partition by doc_id order by " + _TIER + ", encode(email)) as r from p where p not in (" + ", ".join(f"'{w}'" for w in rules.EMAIL_JUNK) + ")) select doc_id, string_agg(email, '; ' order by r) as emails from r where r <= 10 group by 1",
