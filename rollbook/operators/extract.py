@@ -187,3 +187,81 @@ def registry_pages(rows: DataFrame, page: int = 200, ceiling: int = 1000) -> Dat
     g = rows.groupBy("query").agg(F.countDistinct("id").alias("n"))
     most = ceiling + page
     return g.select("query", F.least("n", F.lit(most)).alias("rows"), (F.col("n") > most).alias("hit_ceiling"))
+
+
+# Classes that only stripe rows, inputs that name no goal, phrases of a sign-in page, words of directory data.
+ZEBRA = ["odd", "even", "alt", "alternate", "alternating", "stripe", "striped", "zebra", "row0", "row1", "row2"]
+TRIVIAL = ["hi", "hello", "hey", "yo", "sup", "test", "testing", "hello world", "what", "huh", "ok", "okay", "help", "thanks", "thank you", "bye", "yes", "no"]
+SIGN_IN = ["sign in", "log in", "login", "username", "members only", "member login", "member sign in", "forgot password", "forgot your password", "click here for login", "portal login"]
+DIRECTORY_WORDS = [
+    "member", "user", "directory", "contact", "company", "listing", "organization", "vendor", "supplier", "contractor", "provider", "business", "firm", "result",
+    "roster", "doctor", "physician", "dentist", "attorney", "lawyer", "restaurant", "clinic", "specialist", "consultant", "therapist",
+]
+
+
+def striped(c: Column) -> Column:
+    """A class string of nothing but stripes."""
+    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*ZEBRA))
+
+
+def trivial(c: Column) -> Column:
+    """An input that names no goal."""
+    s = F.regexp_replace(F.lower(F.trim(c)), r"^[?.!,'\" ]+|[?.!,'\" ]+$", "")
+    return (F.length(s) < 2) | s.isin(*TRIVIAL)
+
+
+def sign_in_page(html: Column) -> Column:
+    """A password field and at least two phrases of a sign-in page."""
+    low = F.lower(html)
+    return low.rlike("type=[\"']password[\"']") & (sum(low.contains(p).cast("int") for p in SIGN_IN) >= 2)
+
+
+def plurals(words: Column) -> Column:
+    """A word and its plural."""
+    many = F.when(words.rlike("[aeiou]y$"), F.concat(words, F.lit("s"))).when(words.rlike(".y$"), F.concat(F.regexp_replace(words, "y$", ""), F.lit("ies"))).when(words.endswith("s"), F.concat(words, F.lit("es"))).otherwise(F.concat(words, F.lit("s")))
+    return F.array(words, many)
+
+
+def panel_html(c: Column) -> Column:
+    """The page part of a partial update ``length|#||type|length|updatePanel|id|html``; the text itself if it has no such form."""
+    p = F.split(c, r"\|", 8)
+    return F.when(F.size(p) >= 8, p[7]).otherwise(c)
+
+
+def unwrapped(href: Column) -> Column:
+    """Target of a search result's redirect; null where there is none."""
+    uddg = F.regexp_extract(href, r"uddg=([^&]*)", 1)
+    b64 = F.translate(F.regexp_extract(href, r"^https://www\.bing\.com/ck/.*[?&]u=a1([A-Za-z0-9_-]+)", 1), "-_", "+/")
+    padded = F.rpad(b64, (F.ceil(F.length(b64) / 4) * 4).cast("int"), "=")
+    return F.when(uddg != "", F.try_url_decode(uddg)).when(b64 != "", F.decode(F.unbase64(padded), "utf-8")).when(href.startswith("http") & ~href.startswith("https://www.bing.com/ck/"), href)
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """Absolute address of a link on a page; null for other schemes."""
+    root, folder = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), F.regexp_extract(base, r"^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    out = F.when(href.rlike("(?i)^(?:mailto:|tel:|javascript:|#|data:|blob:)") | (href == ""), None).when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href))
+    return out.when(href.rlike("^[a-z][a-z0-9+.-]*:"), None).when(href.startswith("/"), F.concat(root, href)).when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href)).otherwise(F.concat(folder, href))
+
+
+def registry_address(line: Column, more: Column, city: Column, state: Column, code: Column) -> Column:
+    """Parts of a registry address that are there, in one line."""
+    tail = F.trim(F.concat_ws(" ", F.trim(state), F.trim(code)))
+    return t.null_if_empty(F.concat_ws(", ", *[t.null_if_empty(F.trim(c)) for c in (line, more, city)], t.null_if_empty(tail)))
+
+
+def head_tail(c: Column, n: int = 1000) -> Column:
+    """First and last characters of a long text, blanks collapsed."""
+    s = t.ws(c)
+    return F.when(F.length(s) <= 2 * n, s).otherwise(F.concat(F.substring(s, 1, n), F.lit(" … "), F.substring(s, -n, n)))
+
+
+def stayed(start: Column, now: Column) -> Column:
+    """Still on the listing: the same path, a numbered page below it, or at most one segment below its parent."""
+    a, b = F.regexp_replace(t.path_of(start), "/+$", ""), F.regexp_replace(t.path_of(now), "/+$", "")
+    parent = F.regexp_replace(a, "/[^/]*$", "")
+    below = F.regexp_replace(F.substring(b, F.length(parent) + 1, F.lit(10_000)), "^/+|/+$", "")
+    depth = F.when(below == "", 0).otherwise(F.size(F.split(below, "/")))
+    page = b.startswith(F.concat(a, F.lit("/"))) & F.regexp_extract(b, "([^/]*)$", 1).rlike(r"(?i)(?:page|pg)[-_]?\d+$")
+    return (a == "") | (a == b) | page | F.when(parent == "", b.startswith(F.concat(a, F.lit("/")))).otherwise(b.startswith(parent) & (depth <= 1))

@@ -59,6 +59,16 @@ QUERIES = {
     "registry_pages": lambda s, d: extract.registry_pages(load(s, d, "registry_members").select(F.col("category").alias("query"), F.col("npi").alias("id"))),
     "selected_urls": lambda s, d: load(s, d, "directories").join(_m(s, d).where("website_source = 'ddg_search'").select("source_url"), "source_url", "left_semi").select("source_url", "title"),
     "vertical_counts": lambda s, d: _m(s, d).groupBy("enrichment_status", F.coalesce("website_source", F.lit("none")).alias("found_by")).agg(F.count("*").alias("n")),
+    "striped_class": _one(lambda: extract.striped(F.expr("case member_id % 4 when 0 then 'odd' when 1 then ' Even  ROW1' when 2 then 'odd card' else '' end"))),
+    "trivial_input": _one(lambda: extract.trivial(F.coalesce("phone", F.lit(" Hello!? ")))),
+    "sign_in_page": _one(lambda: extract.sign_in_page(F.expr("case member_id % 3 when 0 then '<input TYPE=\"password\"> Log in, username' when 1 then '<input type=\"password\"> x' else 'sign in, login' end"))),
+    "plural_words": lambda s, d: s.createDataFrame([(w,) for w in extract.DIRECTORY_WORDS], "word string").select(F.explode(extract.plurals(F.col("word"))).alias("word")),
+    "panel_html": _one(lambda: extract.panel_html(F.expr("case when member_id % 2 = 0 then concat('1|#||4|9|updatePanel|p|', company_name, '|x') else company_name end"))),
+    "result_target": _one(lambda: extract.unwrapped(F.expr("case member_id % 4 when 0 then concat('//d.example/l/?uddg=https%3A%2F%2Fx.example%2F', member_id, '&rut=1') when 1 then 'https://www.bing.com/ck/a?x=1&u=a1aHR0cHM6Ly94LmV4YW1wbGUvPz8' when 2 then 'https://y.example/' else '/local' end"))),
+    "url_resolve": _one(lambda: extract.resolved(F.lit("https://x.example/a/b?c=1"), F.expr("case member_id % 8 when 0 then 'd' when 1 then '/e' when 2 then '?f=2' when 3 then 'https://y.example' when 4 then '//z.example/q' when 5 then 'mailto:a@b.c' when 6 then 'ftp://w' else '#top' end"))),
+    "registry_address": lambda s, d: load(s, d, "customer").select("c_custkey", extract.registry_address(F.col("c_name"), F.lit(" "), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), F.lit("WA"), F.col("c_nationkey").cast("string")).alias("address")),
+    "head_tail": lambda s, d: load(s, d, "documents").select("doc_id", extract.head_tail(F.col("text"), 50).alias("sample")),
+    "stayed_on_listing": _one(lambda: extract.stayed(F.lit("https://x.example/dir/find"), F.expr("case member_id % 6 when 0 then 'https://x.example/dir/find?page=2' when 1 then 'https://x.example/dir/search' when 2 then 'https://x.example/dir/details/acme' when 3 then 'https://x.example/dir/find/-npage-2' when 4 then 'https://x.example/news' else 'https://x.example/dir' end"))),
     "pipeline_parse": lambda s, d: pipelines.parse_pages(web_queries.render(_m(s, d)), "#list > .card", {"company_name": "h3", "phone": "a.tel@href", "street_address": ".addr"}).groupBy("tier").agg(F.count("*").alias("records")),
     "pipeline_gates": lambda s, d: pipelines.structured(_m(s, d), load(s, d, "directories")),
     "pipeline_export": lambda s, d: pipelines.export(_m(s, d), pipelines.structured(_m(s, d), load(s, d, "directories"))).groupBy("source_url").agg(F.count("*").alias("records")),
@@ -81,6 +91,16 @@ _LOC = f"with a as (select *, trim(coalesce(street_address, '') || ' ' || coales
 _RKEY = record_queries._key("company_name") + " || coalesce('|' || nullif(regexp_extract(street_address, '\\b([A-Z]{2})\\s+\\d{5}', 1), ''), '')"
 
 SQL = {
+    "striped_class": "select member_id, member_id % 4 in (0, 1) as out from members",
+    "trivial_input": "select member_id, length(regexp_replace(lower(trim(phone, ' ')), '^[?.!,''\" ]+|[?.!,''\" ]+$', '', 'g')) < 2 or phone is null as out from (select member_id, phone from members where phone is not null) union all select member_id, true from members where phone is null",
+    "sign_in_page": "select member_id, member_id % 3 = 0 as out from members",
+    "plural_words": "with w as (select unnest([" + ", ".join(f"'{w}'" for w in extract.DIRECTORY_WORDS) + "]) as word) select word from w union all select case when regexp_matches(word, '[aeiou]y$') then word || 's' when ends_with(word, 'y') then word[:-2] || 'ies' when ends_with(word, 's') then word || 'es' else word || 's' end from w",
+    "panel_html": "select member_id, case when member_id % 2 = 0 then company_name || '|x' else company_name end as out from members",
+    "result_target": "select member_id, case member_id % 4 when 0 then 'https://x.example/' || member_id when 1 then 'https://x.example/??' when 2 then 'https://y.example/' end as out from members",
+    "url_resolve": "select member_id, case member_id % 8 when 0 then 'https://x.example/a/d' when 1 then 'https://x.example/e' when 2 then 'https://x.example/a/b?f=2' when 3 then 'https://y.example' when 4 then 'https://z.example/q' end as out from members",
+    "registry_address": "select c_custkey, concat_ws(', ', c_name, case when c_custkey % 2 = 0 then c_mktsegment end, 'WA ' || c_nationkey) as address from customer",
+    "head_tail": f"with s as (select doc_id, trim(regexp_replace(text, '{_SP}+', ' ', 'g'), ' ') as s from documents) select doc_id, case when length(s) <= 100 then s else substr(s, 1, 50) || ' … ' || right(s, 50) end as sample from s",
+    "stayed_on_listing": "select member_id, member_id % 6 in (0, 1, 3, 5) as out from members",
     "pipeline_gates": record_queries._CLEANED + f", m as (select source_url, count(*) as records, count(c.member_id) as cleaned, (avg(({record_queries._filled('members.phone')} or {record_queries._filled('members.website')} or {record_queries._filled('members.street_address')} or {record_queries._filled('members.mailing_address')} or {record_queries._MAIL.replace('contacts', 'members.contacts')})::int) < 0.05 or avg({record_queries._false('members.company_name')}::int) > 0.3) as garbage from members left join (select member_id from c) c using (member_id) where source_url is not null group by 1) select m.source_url, records, cleaned, garbage, coalesce(expected_count > 0 and cleaned >= 3 and expected_count <= 10 * greatest(records, cleaned) and cleaned < 0.8 * expected_count, false) as partial from m left join directories d on d.source_url = m.source_url",
     "pipeline_export": record_queries._CONS.replace("with k0 as (select *,", "with good as (select source_url from members where source_url is not null group by 1 having not (avg((" + " or ".join(record_queries._filled(c) for c in ("phone", "website", "street_address", "mailing_address")) + f" or {record_queries._MAIL})::int) < 0.05 or avg({record_queries._false('company_name')}::int) > 0.3)), k0 as (select *,").replace(" from members), k as", " from members semi join good using (source_url)), k as") + " select source_url, count(*) as records from h group by 1",
     "pipeline_enrich": _LOC + f", r as (select {_RKEY} as k, arg_min({{'p': phone, 'f': fax}}, npi) as r from registry_members where company_name is not null group by 1), j as (select near.*, r.r as r from near left join r on r.k = {_RKEY.replace('company_name', 'near.company_name').replace('street_address', 'near.street_address')}) select member_id, 'healthcare' as vertical, coalesce(nullif(phone, ''), r.p) as phone, coalesce(nullif(fax, ''), r.f) as fax, case when r is not null and not (coalesce(phone <> '', false) and coalesce(fax <> '', false)) then 'enriched' else 'complete' end as status from j",
