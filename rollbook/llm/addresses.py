@@ -23,7 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
+from rollbook.llm.components import components
+from rollbook.llm.names import edits
 from rollbook.work import cut
 
 #: Distinct parsed tuples up to which a block (place, number) is resolved in one call.
@@ -62,8 +65,14 @@ def plain(s: str) -> str:
     return re.sub(r"\s+", " ", s).strip(" ,.")
 
 
+#: Names longer than this are no slips of others: they only match as they are.
+LONG = 48
+
+
 def deletions(s: str, depth: int) -> set[str]:
-    """``s`` and every string with up to ``depth`` characters taken out."""
+    """``s`` and every string with up to ``depth`` characters taken out; a long one alone."""
+    if len(s) > LONG:
+        return {s}
     out, last = {s}, {s}
     for _ in range(depth):
         last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
@@ -71,25 +80,10 @@ def deletions(s: str, depth: int) -> set[str]:
     return out
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def distance(a: str, b: str, most: int = 2) -> int:
     """Edit distance with neighbour swaps, ``most`` + 1 if larger."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    two, one = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, two[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        two, one = one, row
-    return min(one[-1], most + 1)
+    return 0 if a == b else most + 1 if max(len(a), len(b)) > LONG else edits(a, b, most)
 
 
 class Gazetteer:
@@ -116,6 +110,26 @@ class Gazetteer:
         return best[0][1] if best and (len(best) == 1 or best[0][0] < best[1][0]) else None
 
 
+#: The commonest form: number, street, perhaps a unit, place, state and postcode.
+_PLAIN = re.compile(r"(\d{1,6}) ([a-z0-9'. ]+?)(?:,? (?:suite|ste|unit|rm|room|#)\.? ?#?([0-9]+[a-z]?))?, ([a-z ]+), ([a-z]{2}),? (\d{5})(?:-\d{4})?")
+
+
+def _street(rest: list[str]) -> tuple[str, str, str]:
+    """Direction, core and type of the tokens after the house number."""
+    direction = kind = ""
+    if len(rest) > 1 and rest[0] in DIRECTIONS:
+        direction, rest = DIRECTIONS[rest[0]], rest[1:]
+    elif len(rest) > 1 and rest[-1] in DIRECTIONS:
+        direction, rest = DIRECTIONS[rest[-1]], rest[:-1]
+    if len(rest) > 1 and rest[-1] in TYPES:
+        kind, rest = TYPES[rest[-1]], rest[:-1]
+        if not direction and len(rest) > 1 and rest[-1] in DIRECTIONS:
+            direction, rest = DIRECTIONS[rest[-1]], rest[:-1]
+    elif len(rest) > 1 and (t := _near_type(rest[-1])):
+        kind, rest = t, rest[:-1]
+    return direction, " ".join(_ordinal(t) for t in rest), kind
+
+
 #: place, state, zip, box, number, direction, core, type, unit
 FIELDS = ("place", "zip", "box", "number", "dir", "core", "type", "unit")
 
@@ -127,6 +141,12 @@ def parse(text: str | None, g: Gazetteer) -> tuple | None:
     s = plain(text)
     if not s or not any(ch.isdigit() for ch in s):
         return None
+    m = _PLAIN.fullmatch(s)
+    if m and g.zip.get(m[6]) == (m[4], m[5]) and "box" not in m[2]:
+        words = _TOKEN.findall(re.sub(r"\b([nsew])\.\s?([ew])\b\.?", r"\1\2", m[2]) if "." in m[2] else m[2])
+        direction, core, kind = _street(words)
+        if core:
+            return (m[4], m[6], "", m[1].lstrip("0") or "0", direction, core, kind, m[3] or "")
     s = _COUNTRY.sub(", ", s)
     s = re.sub(r"\b([nsew])\.\s?([ew])\.?(?=[\s,]|$)", r"\1\2", s)
     box = unit = zip_ = ""
@@ -205,17 +225,7 @@ def parse(text: str | None, g: Gazetteer) -> tuple | None:
             rest = rest + y
         if not rest and at:
             rest = segs[at - 1]
-        if len(rest) > 1 and rest[0] in DIRECTIONS:
-            direction, rest = DIRECTIONS[rest[0]], rest[1:]
-        elif len(rest) > 1 and rest[-1] in DIRECTIONS:
-            direction, rest = DIRECTIONS[rest[-1]], rest[:-1]
-        if len(rest) > 1 and rest[-1] in TYPES:
-            kind, rest = TYPES[rest[-1]], rest[:-1]
-            if not direction and len(rest) > 1 and rest[-1] in DIRECTIONS:
-                direction, rest = DIRECTIONS[rest[-1]], rest[:-1]
-        elif len(rest) > 1 and (t := _near_type(rest[-1])):
-            kind, rest = t, rest[:-1]
-        core = " ".join(_ordinal(t) for t in rest)
+        direction, core, kind = _street(rest)
     if box:
         # a box needs its place; the street of such a record is a second address line
         return (place, zip_, box, "", "", "", "", "") if place or zip_ else None
@@ -251,7 +261,8 @@ def learn(texts: DataFrame) -> list[tuple[str, str, str]]:
     """(postcode, place, state) by majority over the well-formed strings of ``s``; at most 100,000 rows."""
     low = F.lower(F.regexp_replace("s", r"(?U)\s+", " "))
     rx = r"[,;]\s*([a-z][a-z .'-]+?)\s*[,;]\s*([a-z]{2})[,;]?\s+(\d{5})(?:-\d{4})?\s*(?:,|$)"
-    got = texts.where(F.col("s").rlike(r"\d{5}")).select(F.regexp_extract(low, rx, 3).alias("z"), F.trim(F.regexp_extract(low, rx, 1)).alias("c"), F.regexp_extract(low, rx, 2).alias("st")).where("z != ''")
+    hit = F.split(F.regexp_replace(F.regexp_extract(low, rx, 0), rx, "$3|$1|$2"), r"\|")
+    got = texts.where(F.col("s").rlike(r"[,;]\s*[A-Za-z]{2}[,;]?\s+\d{5}")).select(hit.alias("h")).where("size(h) = 3").select(F.col("h")[0].alias("z"), F.trim(F.col("h")[1]).alias("c"), F.col("h")[2].alias("st"))
     n = got.groupBy("z", "c", "st").agg(F.count("*").alias("n"))
     top = n.groupBy("z").agg(F.max_by(F.struct("c", "st"), F.struct("n", "c", "st")).alias("t"), F.max("n").alias("n"))
     rows = [(r["z"], r["t"]["c"], r["t"]["st"], r["n"]) for r in top.collect()]
@@ -346,7 +357,7 @@ def resolve(items: list[tuple]) -> list[int]:
     """
     full = lambda t: (sum(map(bool, (t[1], t[3], t[4], t[0]))), t[5], t)
     order = sorted(range(len(items)), key=lambda i: full(items[i]), reverse=True)
-    index: dict[str, list[int]] = {}
+    index: dict[tuple, list[int]] = {}
     where = [-1] * len(items)
     heads: list[list] = []
     for i in order:
@@ -354,20 +365,27 @@ def resolve(items: list[tuple]) -> list[int]:
         key = t[2].replace(" ", "")
         near: set[int] = set()
         dels = deletions(key, 1) if not key.isdigit() else {key}
+        # a unit meets only its own number and locations without one, so towers stay cheap
         for d in dels:
-            near.update(index.get(d, ()))
+            for u in (t[4], "") if t[4] else (None,):
+                near.update(index.get((d, u), ()))
         fits = sorted((c, h) for h in near if (c := _pair_cost(t[:5], tuple(heads[h]))) is not None)
         if fits and (len(fits) == 1 or fits[0][0] < fits[1][0] - 1e-9 or _same_but(heads[fits[0][1]], heads[fits[1][1]])):
             h = fits[0][1]
             where[i] = h
+            named = not heads[h][4] and t[4]
             for k in (0, 1, 3, 4):
                 heads[h][k] = heads[h][k] or t[k]
+            if named:
+                for d in dels:
+                    index.setdefault((d, t[4]), []).append(h)
         else:
             h = len(heads)
             heads.append(list(t[:5]))
             where[i] = h
         for d in dels:
-            index.setdefault(d, []).append(h)
+            for u in {heads[h][4], None}:
+                index.setdefault((d, u), []).append(h)
     return where
 
 
@@ -382,8 +400,6 @@ _LOC = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructFiel
 
 def locations(tuples: DataFrame) -> DataFrame:
     """(id, loc) from distinct tuples (id, *FIELDS, n): ``loc`` is the smallest id of the location."""
-    from pyspark.sql.functions import pandas_udf
-
     names = tuples.where("box = ''").groupBy("core").agg(F.sum("n").alias("n")).where("n >= 5")
     names = cut(names, "p7-streets")
     total = names.agg(F.sum("n")).first()[0] or 0
@@ -414,12 +430,24 @@ def locations(tuples: DataFrame) -> DataFrame:
     item = F.struct("zip", "dir", "core", "type", "unit", "n", "id")
     small = streets.join(size.where((F.col("size") > 1) & (F.col("size") <= BLOCK)).select("place", "number"), ["place", "number"])
     small = small.groupBy("place", "number").agg(F.collect_list(item).alias("b"))
-    # larger blocks by the first and the last two letters and digits of the street, both ways, then joined by equal ids
-    large = streets.join(size.where(F.col("size") > BLOCK).select("place", "number"), ["place", "number"])
-    large = large.withColumn("k", F.explode(F.array_distinct(F.array(F.concat(F.lit("a"), F.substring("core", 1, 3)), F.concat(F.lit("z"), F.expr("right(core, 3)"))))))
-    large = large.groupBy("place", "number", "k").agg(F.collect_list(item).alias("b")).select("b")
-    got = small.select("b").unionByName(large).select(F.explode(run("b")).alias("r")).select("r.*")
-    return one.unionByName(boxes).unionByName(got.groupBy("id").agg(F.min("loc").alias("loc")))
+    parts = [one, boxes, small.select(F.explode(run("b")).alias("r")).select("r.*")]
+    if size.where(F.col("size") > BLOCK).limit(1).count():
+        # larger blocks: a tuple enters the sub-block of each deletion of its street; tuples that any of them
+        # puts together are one location
+        large = streets.join(size.where(F.col("size") > BLOCK).select("place", "number"), ["place", "number"])
+        large = large.withColumn("k", F.explode(_street_keys("core"))).groupBy("place", "number", "k").agg(F.collect_list(item).alias("b"))
+        met = large.select("place", "number", "k", F.explode(run("b")).alias("r"))
+        member = met.select(F.col("r.id").alias("p"), F.xxhash64("place", "number", "k", "r.loc").alias("g"))
+        parts.append(components(cut(member, "p7-large"), "p7-labels").select(F.col("p").alias("id"), F.col("c").alias("loc")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _street_keys(core: pd.Series) -> pd.Series:
+    return core.map(lambda c: [c] if c.isdigit() else sorted(deletions(c.replace(" ", ""), 1)))
 
 
 def _over(*keys: str):

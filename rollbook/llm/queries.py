@@ -12,6 +12,20 @@ def _mix(spark, sf_dir):
     return mixing.mix(sizes, targets), targets, sizes
 
 
+def _fused(spark, sf_dir, what):
+    members = load(spark, sf_dir, "members")
+    rows = entities.member_features(members)
+    business = cut(entities.businesses(members, rows), "businesses")
+    return what(members, business, load(spark, sf_dir, "directories"), rows)
+
+
+def _linked(spark, sf_dir):
+    members = load(spark, sf_dir, "members")
+    rows = entities.member_features(members)
+    business = cut(entities.businesses(members, rows), "businesses")
+    return linkage.linked(members, business, load(spark, sf_dir, "registry_members"), rows)
+
+
 def _segments(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     return languages.classify(docs, languages.train(docs))
@@ -23,13 +37,13 @@ def _businesses(spark, sf_dir):
 
 
 QUERIES = {
-    "p1_found": lambda s, d: survivors.survivors(*_businesses(s, d), load(s, d, "directories")).select("group_id", "field", "member_id"),
-    "p1_fused": lambda s, d: survivors.survivors(*_businesses(s, d), load(s, d, "directories")),
-    "p1_sources": lambda s, d: survivors.sources(*_businesses(s, d), load(s, d, "directories")),
-    "p2_found": lambda s, d: linkage.linked(*_businesses(s, d), load(s, d, "registry_members")).select("member_id", "npi"),
-    "p2_matches": lambda s, d: linkage.linked(*_businesses(s, d), load(s, d, "registry_members")),
+    "p1_found": lambda s, d: _fused(s, d, survivors.survivors).select("group_id", "field", "member_id"),
+    "p1_fused": lambda s, d: _fused(s, d, survivors.survivors),
+    "p1_sources": lambda s, d: _fused(s, d, survivors.sources),
+    "p2_found": lambda s, d: _linked(s, d).select("member_id", "npi"),
+    "p2_matches": _linked,
     "p3_found": lambda s, d: entities.variants(*_businesses(s, d)),
-    "p1_businesses": lambda s, d: _businesses(s, d)[1],
+    "p1_businesses": lambda s, d: _businesses(s, d)[1].select("member_id", "business"),
     "p5_found": lambda s, d: residue.find_residue(load(s, d, "members")),
     "p7_found": lambda s, d: addresses.same_location(load(s, d, "members")),
     "p8_ids": lambda s, d: tokenizing.encode(load(s, d, "documents")),

@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ID = r"[A-Za-z_][A-Za-z0-9_]*(?:[.\-][A-Za-z_][A-Za-z0-9_]*)*"
+# bounded loops: the JVM's matcher recurses once per round of a group
+_ID = r"[A-Za-z_][A-Za-z0-9_]{0,60}(?:[.\-][A-Za-z_][A-Za-z0-9_]{0,60}){0,8}"
 _TAGS = r"(?:/?(?:p|br|b|i|u|em|strong|span|div|a|ul|ol|li|h[1-6]|hr|img|table|tr|td|th|code|pre|small|sup|sub)\b)"
 #: One grammar per delimiter.
 PLACEHOLDERS = [
-    rf"\{{\{{\{{?\s*[#/^&>]?\s*{_ID}(?:\s*\|\s*\w+)*\s*\}}\}}\}}?",
+    rf"\{{\{{\{{?\s*[#/^&>]?\s*{_ID}(?:\s*\|\s*\w+){{0,8}}\s*\}}\}}\}}?",
     rf"\{{%-?\s*{_ID}\s*-?%\}}",
     rf"[$#]\{{\s*{_ID}\s*\}}",
     rf"\{{!\s*{_ID}\s*!?\}}",
@@ -57,7 +58,7 @@ MESSAGES = [
     r"description (?:to be supplied|goes here|coming)",
     r"add (?:a|your) (?:short )?(?:description|bio|summary|text)\b.*\bhere\b",
     r"(?:click|double-click|tap) (?:here )?to (?:edit|add|change)\b",
-    r"x{3,}(?:\s+x{2,})*(?:\s+todo.*)?$",
+    r"x{3,}(?:\s+x{2,}){0,50}(?:\s+todo.*)?$",
     r"todo\b.*\b(?:copy|text|client|write)",
     r"coming soon[.!…]*$",
     r"\[?(?:insert|enter|add|put) (?:your |the )?(?:business|company|member|firm|organi[sz]ation|display|listing)(?:'s)? (?:name|title)(?: here)?\]?$",
@@ -67,7 +68,7 @@ MESSAGES = [
     r"untitled(?: (?:listing|member|page|record|business|entry))?\s*(?:\(?#?\d+\)?)?$",
     r"(?:new|unnamed) (?:listing|member|entry) ?\(?#?\d+\)?$",
     # printed non-values
-    r"(?:(?:undefined|null|nan|none|nil)[,;\s]*)+(?:undef\w{0,4}|nul|non)?$",
+    r"(?:(?:undefined|null|nan|none|nil)[,;\s]*){1,50}(?:undef\w{0,4}|nul|non)?$",
     r"\[object \w+\]",
     r"object \{.*\}?$",
     r"function ?\w*\(.*\) ?\{",
@@ -121,14 +122,23 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"^[ >*#\-–]+| +$", "")
 
 
+#: Signs without which there is no placeholder, and signs that need tidying before messages are read.
+_SIGNS = r"[{}\[\]<>%*@_~$#&]"
+_UNTIDY = r"[<>&*#\u200b\u200c\u200d\ufeff\u00ad\n\t]|^[ \-–]|  | $|[^\x00-\x7f] "
+
+
 def is_residue(c: Column) -> Column:
-    """True where the text is residue; null and blank texts give false."""
+    """True where the text is residue; null and blank texts give false.
+
+    Cheap guards decide first, so clean texts cost one scan for signs and one anchored match.
+    """
     s = F.coalesce(c, F.lit(""))
     plain = F.regexp_replace(s, _CODE, " ")
     left = F.length(F.regexp_replace(plain, PLACEHOLDER, ""))
     dense = (F.length(plain) - left) >= DENSE * F.length(plain)
-    marked = plain.rlike(PLACEHOLDER) & (~s.rlike(_TUTORIAL) | dense)
-    return marked | _bare(s).rlike(_MESSAGE)
+    marked = F.when(s.rlike(_SIGNS), plain.rlike(PLACEHOLDER) & (~s.rlike(_TUTORIAL) | dense)).otherwise(F.lit(False))
+    tidy = F.when(s.rlike(_UNTIDY), _bare(s)).otherwise(s)
+    return marked | tidy.rlike(_MESSAGE)
 
 
 FIELDS = ("description", "company_name")

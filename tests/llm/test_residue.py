@@ -23,7 +23,7 @@ def test_texts(spark, texts, want):
 
 
 def test_table(spark):
-    df = spark.createDataFrame([(1, "NaN", "{x}", "c"), (1, "NaN", "{x}", "c"), (2, None, "word " * 40_000, "c"), (3, "A", "B", "c")], "member_id long, company_name string, description string, field string")
+    df = spark.createDataFrame([(1, "NaN", "{x}", "c"), (1, "NaN", "{x}", "c"), (2, None, "word " * 40_000, "c"), (3, "A", "B", "c"), (4, None, "undefined " * 50_000, "c"), (5, None, "{" + "a." * 50_000, "c"), (6, None, "{{ a" + " | b" * 50_000, "c"), (7, None, "<" * 50_000 + "`" * 50_001, "c")], "member_id long, company_name string, description string, field string")
     assert sorted(map(tuple, residue.find_residue(df).collect())) == [(1, "company_name")] * 2 + [(1, "description")] * 2
     assert residue.find_residue(df.limit(0)).count() == 0
     assert {r.company_name for r in residue.without_residue(df).collect()} == {None, "A"}
