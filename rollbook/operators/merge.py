@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import text as t
+from rollbook.work import cut
 
 FIELDS = ["company_name", "category", "description", "phone", "fax", "website", "street_address", "mailing_address", "hours", "founded", "source_url"]
 PLATFORMS = ["facebook", "linkedin", "instagram", "twitter", "youtube", "yelp", "pinterest", "tiktok"]
@@ -56,10 +57,24 @@ def export_metadata(members: DataFrame) -> DataFrame:
     return m.select("records", "dropped_empty", (F.col("records") - F.col("dropped_empty") - F.col("total")).alias("duplicates_merged"), "total")
 
 
-def final_order(merged: DataFrame, top: int) -> DataFrame:
-    """The first records of the export: by name key in code-point order, the nameless at ``~``."""
+def final_order(merged: DataFrame, top: int | None = None) -> DataFrame:
+    """The export in order, whole or its ``top`` first records: by name key in code-point order, the nameless at ``~``."""
     key = F.when(t.export_key(F.col("company_name")) == "", "~").otherwise(t.export_key(F.col("company_name")))
-    return merged.withColumn("sort_key", key).orderBy("sort_key", "first_id").limit(top)
+    ordered = merged.withColumn("sort_key", key).orderBy("sort_key", "first_id")
+    return ordered if top is None else ordered.limit(top)
+
+
+def positions(ordered: DataFrame) -> DataFrame:
+    """Adds ``position``, from 1, to a sorted table. The driver sees one count per partition, no rows."""
+    at = cut(ordered.withColumn("_at", F.monotonically_increasing_id()), "export-order")
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["part"], r["n"]) for r in at.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, rows = 0, []
+    for k, n in sizes:
+        rows.append((k, before))
+        before += n
+    starts = ordered.sparkSession.createDataFrame(rows, "part long, before long")
+    return at.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("position", F.col("before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("part", "before", "_at")
 
 
 def flatten_record(members: DataFrame) -> DataFrame:

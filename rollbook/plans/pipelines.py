@@ -46,9 +46,9 @@ def structured(members: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def export(members: DataFrame, gates: DataFrame) -> DataFrame:
-    """The final dataset: records of sources that are no garbage, consolidated."""
+    """The final dataset: records of sources that are no garbage, consolidated and in order of names."""
     good = gates.where("not garbage").select("source_url")
-    return merge.consolidate(members.join(good, "source_url", "left_semi"))
+    return merge.final_order(merge.consolidate(members.join(good, "source_url", "left_semi"))).drop("sort_key")
 
 
 def discover(hits: DataFrame, texts: DataFrame) -> DataFrame:

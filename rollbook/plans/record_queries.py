@@ -105,6 +105,7 @@ QUERIES = {
     "consolidate_members": lambda s, d: _joined(merge.consolidate(_m(s, d))),
     "export_metadata": lambda s, d: merge.export_metadata(_m(s, d)),
     "final_sort": lambda s, d: merge.final_order(merge.consolidate(_m(s, d)), 200).select("sort_key", "first_id"),
+    "final_sort_all": lambda s, d: merge.positions(merge.final_order(merge.consolidate(_m(s, d))).select("sort_key", "first_id")),
     "flatten_csv": lambda s, d: merge.flatten_record(_m(s, d)),
     "csv_columns": lambda s, d: merge.used_columns(merge.flatten_record(_m(s, d))),
     "listing_detail_anti": lambda s, d: merge.listing_minus_detail(_listing(s, d), _detail(s, d)),
@@ -260,6 +261,7 @@ p as (select member_id, list_transform(cc, lambda x: {{'name': x.name, 'email':
     "consolidate_members": _CONS + f" select * exclude (contacts), {_join('contacts', 'name')} as names, {_join('contacts', 'email')} as emails from h",
     "export_metadata": _MK + " select count(*) as records, count(*) filter (k is null) as dropped_empty, count(k) - count(distinct k) as duplicates_merged, count(distinct k) as total from k",
     "final_sort": _CONS + f" select coalesce(nullif({_ekey('company_name')}, ''), '~') as sort_key, first_id from h order by encode(sort_key), first_id limit 200",
+    "final_sort_all": _CONS + f", o as (select coalesce(nullif({_ekey('company_name')}, ''), '~') as sort_key, first_id from h) select sort_key, first_id, row_number() over (order by encode(sort_key), first_id) as position from o",
     "flatten_csv": _flat(),
     "csv_columns": f"with f as ({_flat()}), u as (unpivot (select * exclude (member_id) from f) on columns(*) into name \"column\" value v) select \"column\", count(*) as rows from u where v <> '' group by 1",
     "listing_detail_anti": f"with l as (select member_id as id, coalesce({_key('company_name')}, '') as key from members), d as (select distinct {_key('company_name')} as k from registry_members where {_key('company_name')} <> '') select id, key from l where not exists (select 1 from d where l.key = d.k) and not (key <> '' and exists (select 1 from d where length(d.k) >= 8 and (starts_with(l.key, d.k) or starts_with(d.k, l.key))))",
