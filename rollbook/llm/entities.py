@@ -9,6 +9,7 @@ the businesses: the smallest id spreads over memberships, with pointer jumping,
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -195,10 +196,11 @@ def businesses(members: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     plain = some.where("alike").select("p", F.xxhash64("key").alias("g"))
     rest = some.where("not alike")
     small = rest.where(F.col("k") <= names.SHARD).groupBy("key").agg(F.array_join(F.collect_list("item"), _R).alias("s"))
-    split = rest.where(F.col("k") > names.SHARD).withColumn("sub", F.explode(_shard_keys("nm"))).groupBy("key", "sub").agg(F.array_join(F.collect_list("item"), _R).alias("s"))
-    linked = small.unionByName(split.select(F.concat("key", F.lit("#"), "sub").alias("key"), "s"))
-    pairs = linked.select("key", _cluster_udf("s").alias("l")).select("key", F.explode(F.arrays_zip("l.p", "l.c")).alias("z"))
-    member = cut(plain.unionByName(pairs.select(F.col("z.p").alias("p"), F.xxhash64("key", "z.c").alias("g"))), "entity-links")
+    member = plain.unionByName(_grouped(small.select("key", _cluster_udf("s").alias("l")), "key"))
+    large = rest.where(F.col("k") > names.SHARD)
+    if large.limit(1).count():
+        member = member.unionByName(_large_shards(large))
+    member = cut(member, "entity-links")
     drop_cut(some)
     linked_labels = components(member, "entity-labels")
     drop_cut(member)
@@ -216,9 +218,85 @@ def businesses(members: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return done.join(low, "c").select("member_id", "business", "named")
 
 
+def _grouped(linked: DataFrame, *keys: str) -> DataFrame:
+    """(p, g): memberships from the clusters ``l`` of each shard."""
+    z = linked.select(*keys, F.explode(F.arrays_zip("l.p", "l.c")).alias("z"))
+    return z.select(F.col("z.p").alias("p"), F.xxhash64(*keys, "z.c").alias("g"))
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _shard_keys(core: pd.Series, cut: pd.Series) -> pd.Series:
+    return pd.Series([[k for k in names.shard_keys(c, x) if k[0] != "i"] for c, x in zip(core, cut)], dtype=object)
+
+
 @pandas_udf(T.ArrayType(T.StringType()))
-def _shard_keys(core: pd.Series) -> pd.Series:
-    return core.map(lambda c: names.shard_keys(c) if c else [""])
+def _initial_keys(core: pd.Series) -> pd.Series:
+    return core.map(names.initial_keys)
+
+
+def _shared_only(pairs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    size = Counter(c for _, c in pairs)
+    return _split([x for x in pairs if size[x[1]] > 1])
+
+
+@pandas_udf(_LINKS)
+def _alike_udf(sub: pd.Series, shards: pd.Series) -> pd.DataFrame:
+    got = []
+    for kind, s in zip(sub, shards):
+        rows = unpacked(s)
+        got.append(_shared_only(list(zip([r[0] for r in rows], names.link_alike([(r[1], r[2] == "true") for r in rows], kind[0])))))
+    return pd.DataFrame({"p": [g[0] for g in got], "c": [g[1] for g in got]})
+
+
+@pandas_udf(_LINKS)
+def _initials_udf(shards: pd.Series) -> pd.DataFrame:
+    got = []
+    for s in shards:
+        rows = sorted(((core, trade or "", cut == "true"), c) for c, core, trade, cut in unpacked(s))
+        sets = names.Sets(len(rows))
+        for i, j in names.link_initials([n for n, _ in rows], [c for _, c in rows]):
+            sets.join(i, j)
+        got.append(_shared_only(list(zip([c for _, c in rows], sets.all()))))
+    return pd.DataFrame({"p": [g[0] for g in got], "c": [g[1] for g in got]})
+
+
+def _large_shards(shards: DataFrame) -> DataFrame:
+    """(p, g): what ``_cluster`` gives, for shards of many names, whose rows never come together.
+
+    Pairs of names meet in sub-shards; initials and nameless profiles are judged over the clusters that
+    these make together.
+    """
+    f = F.split("item", _F)
+    at = lambda k: F.nullif(F.get(f, F.lit(k)), F.lit(""))
+    rows = shards.select("key", "p", at(1).alias("core"), at(2).alias("trade"), (F.get(f, F.lit(3)) == "true").alias("cut"), at(4).alias("phone"), at(5).alias("host"))
+    named = rows.where("core is not null")
+    cores = cut(named.groupBy("key", "core").agg(F.max("cut").alias("cut")).withColumn("id", F.xxhash64("key", "core")), "entity-cores")
+    subs = cores.select("key", packed("id", "core", "cut").alias("item"), F.explode(_shard_keys("core", "cut")).alias("sub"))
+    subs = subs.groupBy("key", "sub").agg(F.count("*").alias("n"), F.array_join(F.collect_list("item"), _R).alias("s")).where("n > 1")
+    member = cut(_grouped(subs.select("key", "sub", _alike_udf("sub", "s").alias("l")), "key", "sub"), "entity-alike")
+    alike = components(member, "entity-alike-labels").select(F.col("p").alias("id"), "c")
+    drop_cut(member)
+    labels = cut(cores.join(alike, "id", "left").select("key", "core", F.coalesce("c", "id").alias("c")), "entity-core-labels")
+    triples = named.select("key", "core", "trade", "cut").distinct().join(labels, ["key", "core"])
+    short = triples.select("key", packed("c", "core", "trade", "cut").alias("item"), F.explode(_initial_keys("core")).alias("sub"))
+    short = short.groupBy("key", "sub").agg(F.count("*").alias("n"), F.array_join(F.collect_list("item"), _R).alias("s")).where("n > 1")
+    member = cut(_grouped(short.select("key", "sub", _initials_udf("s").alias("l")), "key", "sub").distinct(), "entity-initials")
+    merged = components(member, "entity-initials-labels").select(F.col("p").alias("c"), F.col("c").alias("to"))
+    drop_cut(member)
+    found = cut(named.join(labels, ["key", "core"]).join(merged, "c", "left").select("key", "p", "phone", "host", F.coalesce("to", "c").alias("c")), "entity-found")
+    # a nameless profile joins the cluster of its phone and host, or of either, if there is only one
+    lost = rows.where("core is null").select("key", "p", "phone", "host")
+    phones = found.where("phone is not null").select("key", "phone", "c").distinct()
+    hosts = found.where("host is not null").select("key", "host", "c").distinct()
+    count = lambda df, n, *k: df.groupBy(*k).agg(F.count("*").alias(f"n_{n}"), F.min("c").alias(n))
+    both = lost.select("key", "phone", "host").distinct().join(hosts, ["key", "host"]).join(phones, ["key", "phone", "c"])
+    only = found.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("phone").alias("known"))
+    fits = lost.join(count(phones, "a", "key", "phone"), ["key", "phone"], "left").join(count(hosts, "b", "key", "host"), ["key", "host"], "left")
+    fits = fits.join(count(both, "ab", "key", "phone", "host"), ["key", "phone", "host"], "left").join(only, "key").fillna(0, ["n_a", "n_b", "n_ab"])
+    to = F.when(F.col("n_ab") > 0, F.when(F.col("n_ab") == 1, F.col("ab"))).when(F.col("n_a") + F.col("n_b") == 1, F.coalesce("a", "b"))
+    to = to.when((F.col("n_a") + F.col("n_b") == 0) & (F.col("lo") == F.col("hi")) & (F.col("phone").isNull() | F.col("known").isNull()), F.col("lo"))
+    joined = fits.select("key", "p", to.alias("c")).where("c is not null")
+    return found.select("key", "p", "c").unionByName(joined).select("p", F.xxhash64("key", "c").alias("g"))
 
 
 def _cluster_people(shard: str) -> list[tuple[int, int]]:

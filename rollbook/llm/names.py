@@ -4,7 +4,8 @@ Names are put into tries, sharded by evidence that two records may mean one enti
 and house number, a website host in a place, a mailbox). In each shard a Levenshtein automaton walks
 the trie and enumerates the neighbours of each name within a bounded distance; token-order
 permutations, initials and cut-off forms are then checked. A shard above ``SHARD`` different names is
-divided by deletion keys of the sorted initials, under which every pair that the checks accept meets.
+divided by the keys of ``shard_keys``, under which every pair that the checks accept meets; initials are
+judged when the sub-shards are merged.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from hashlib import blake2b
 
 #: Different names up to which a shard is one trie.
 SHARD = 300
@@ -205,82 +207,159 @@ def abbreviated(core: str) -> bool:
     return all(len(t) == 1 for t in ts) or (len(ts) == 1 and len(ts[0]) <= 3)
 
 
-def shard_keys(core: str) -> list[str]:
-    """Keys of a divided shard: sorted initials, whole and with one left out."""
+def dropped(word: str, most: int) -> set[str]:
+    """``word`` with up to ``most`` characters left out."""
+    out = now = {word}
+    for _ in range(most):
+        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w))}
+        out = out | now
+    return out
+
+
+def _number(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode(), digest_size=8).digest(), "big")
+
+
+def _rests(tokens: set[str]) -> list[tuple[int, str]]:
+    """(number of the set without it, token) for each token."""
+    each = {t: _number(t) for t in tokens}
+    total = sum(each.values())
+    return [((total - v) % 2**64, t) for t, v in each.items()]
+
+
+def initial_keys(core: str) -> list[str]:
+    """Keys under which initials meet the names they may stand for; a "t" for "The" may be missing on either side."""
     s = initials(core)
-    once = {s} | {s[:i] + s[i + 1 :] for i in range(len(s))}
-    return sorted(once | ({s.replace("t", "", 1)} if abbreviated(core) else set()))
+    return [s] if abbreviated(core) else sorted({s, s.replace("t", "", 1), "".join(sorted(s + "t"))})
 
 
-def link_companies(names: list[tuple[str, str, bool]]) -> list[int]:
-    """Cluster numbers of distinct (core, trade, cut) in one shard."""
-    n = len(names)
-    root = list(range(n))
+#: Letters of a word that its deletion keys are taken from: words within an edit bound also meet by these.
+REACH = 10
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+
+def shard_keys(core: str, cut: bool = False) -> list[str]:
+    """Keys of a divided shard, led by the kind of check they serve: each pair that ``link_companies`` accepts shares one.
+
+    e: the word and its sorted tokens with letters left out up to the edit bound; c: first letters, for names
+    cut off; p: leading words; r: all tokens but one; i: initials.
+    """
+    ts = core.split()
+    out = {"i" + k for k in initial_keys(core)}
+    for w in {"".join(ts), "".join(sorted(ts))}:
+        out.update("e" + d for d in dropped(w[:REACH], bound(w)))
+        if len(w) >= 4:
+            out.add("c" + w[:4])
+    h, size = blake2b(digest_size=8), 0
+    for t in ts:
+        h.update(t.encode() + b" ")
+        size += len(t)
+        if size >= 6:
+            out.add("p" + h.hexdigest())
+    if len(set(ts)) > 1:
+        out.update(f"r{k}" for k, _ in _rests(set(ts)))
+    return sorted(out)
+
+
+class Sets:
+    """Numbers 0 to n - 1 in disjoint sets, known by their smallest."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
+    def join(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
         if a != b:
-            root[max(a, b)] = min(a, b)
+            self.root[max(a, b)] = min(a, b)
 
-    if n == 1:
-        return [0]
-    # names of one core are one; only different cores go on
-    heads: dict[str, int] = {}
-    for i, (core, _, _) in enumerate(names):
-        join(heads.setdefault(core, i), i)
-    if len(heads) == 1:
-        return [0] * n
-    trie = Trie()
-    forms = []
-    for i, (core, _, _) in enumerate(names):
-        whole = core.replace(" ", "")
-        perm = "".join(sorted(core.split()))
-        forms.append((whole, perm))
-        trie.add(whole, i)
-        if perm != whole:
-            trie.add(perm, i)
-    for i, (whole, perm) in enumerate(forms):
-        core, trade, cut = names[i]
-        if heads[core] == i:
+    def all(self) -> list[int]:
+        return [self.find(i) for i in range(len(self.root))]
+
+
+def link_alike(names: list[tuple[str, bool]], kinds: str = "ecpr") -> list[int]:
+    """Cluster numbers of distinct (core, cut) in one shard by the checks on pairs, of the kinds of ``shard_keys``."""
+    sets = Sets(len(names))
+    forms = [(core.replace(" ", ""), "".join(sorted(core.split()))) for core, _ in names]
+    if {*kinds} & {*"ecp"}:
+        trie = Trie()
+        for i, (whole, perm) in enumerate(forms):
             for w in {whole, perm}:
-                for j in trie.near(w, bound(w)):
-                    if j != i:
-                        join(i, j)
-        if len(whole) >= (4 if cut else 6):
-            for j in trie.starting(whole):  # cut off, or the rest left out
-                if j != i and (cut or names[j][0].startswith(core + " ")):
-                    join(i, j)
-        # a space lost or one token misspelt out of order
-        tokens = set(core.split())
-        if len(tokens) > 1:
-            for j in range(i):
-                other = set(names[j][0].split())
-                if len(other) == len(tokens) and find(i) != find(j):
-                    a, b = sorted(tokens - other), sorted(other - tokens)
-                    if len(a) == len(b) == 1 and len(tokens) > 1 and within(a[0], b[0], 2):
-                        join(i, j)
+                trie.add(w, i)
+        for i, (whole, perm) in enumerate(forms):
+            core, cut = names[i]
+            if "e" in kinds:
+                for w in {whole, perm}:
+                    for j in trie.near(w, bound(w)):
+                        sets.join(i, j)
+            if len(whole) >= (4 if cut else 6) and ("c" if cut else "p") in kinds:
+                for j in trie.starting(whole):  # cut off, or the rest left out
+                    if cut or names[j][0].startswith(core + " "):
+                        sets.join(i, j)
+    if "r" in kinds:  # one token misspelt out of order
+        words = [set(core.split()) for core, _ in names]
+        by: dict[int, list[tuple[str, int]]] = {}
+        for i, tokens in enumerate(words):
+            if len(tokens) > 1:
+                for k, t in _rests(tokens):
+                    by.setdefault(k, []).append((t, i))
+        for group in by.values():
+            odd: dict[str, list[int]] = {}
+            for t, i in group:
+                odd.setdefault(t, []).append(i)
+            if len(odd) > 1:
+                tokens = sorted(odd)
+                trie = Trie()
+                for k, t in enumerate(tokens):
+                    trie.add(t, k)
+                for k, t in enumerate(tokens):
+                    for o in trie.near(t, 2):
+                        if o < k:
+                            for i in odd[t]:
+                                for j in odd[tokens[o]]:
+                                    if sets.find(i) != sets.find(j) and words[i] - words[j] == {t} and words[j] - words[i] == {tokens[o]}:
+                                        sets.join(i, j)
+    return sets.all()
+
+
+def link_initials(names: list[tuple[str, str, bool]], at: list[int]) -> list[tuple[int, int]]:
+    """Pairs of sorted (core, trade, cut) that initials add to the clusters ``at``: with the only cluster they fit, else with like initials."""
+    short: dict[str, list[int]] = {}
     by: dict[str, list[int]] = {}
     for i, (core, _, _) in enumerate(names):
-        if not abbreviated(core):
-            by.setdefault(initials(core), []).append(i)
-    for i, (core, trade, _) in enumerate(names):
-        if abbreviated(core):
-            mine = initials(core)
-            pool = by.get(mine, []) + (by.get(mine.replace("t", "", 1), []) if "t" in mine else [])  # "The" may count
-            hits = {find(j) for j in pool if not trade or not names[j][1] or trade == names[j][1] or names[j][2]}
+        (short if abbreviated(core) else by).setdefault(initials(core), []).append(i)
+    out = []
+    for mine, own in short.items():
+        pool = by.get(mine, []) + (by.get(mine.replace("t", "", 1), []) if "t" in mine else [])  # "The" may count
+        for k, i in enumerate(own):
+            trade = names[i][1]
+            hits = {at[j]: j for j in pool if not trade or not names[j][1] or trade == names[j][1] or names[j][2]}
             if len(hits) == 1:
-                join(i, hits.pop())
+                out.append((i, *hits.values()))
             else:
-                for j in range(i):
-                    if abbreviated(names[j][0]) and initials(names[j][0]) == initials(core):
-                        join(i, j)
-    return [find(i) for i in range(n)]
+                out.extend((i, j) for j in own[:k])
+    return out
+
+
+def link_companies(names: list[tuple[str, str, bool]]) -> list[int]:
+    """Cluster numbers of distinct (core, trade, cut) in one shard."""
+    # names of one core are one; only different cores go on
+    heads: dict[str, bool] = {}
+    for core, _, cut in names:
+        heads[core] = heads.get(core, False) or cut
+    if len(heads) == 1:
+        return [0] * len(names)
+    where = dict(zip(heads, link_alike(list(heads.items()))))
+    first: dict[int, int] = {}
+    at = [first.setdefault(where[core], i) for i, (core, _, _) in enumerate(names)]
+    sets = Sets(len(names))
+    for i, j in [*enumerate(at), *link_initials(names, at)]:
+        sets.join(i, j)
+    return sets.all()
 
 
 # Nicknames by given name.
