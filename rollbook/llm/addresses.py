@@ -27,9 +27,10 @@ from pyspark.sql.functions import pandas_udf
 
 from rollbook.llm.components import components
 from rollbook.llm.names import edits
-from rollbook.work import cut
+from rollbook.work import cut, drop_cut
 
-#: Distinct parsed tuples up to which a block (place, number) is resolved in one call.
+#: Distinct parsed tuples up to which a block (place, number) is resolved in one call; a larger one is first taken apart
+#: into streets that cannot meet.
 BLOCK = 400
 
 # Street types, directions, and ordinals as addresses write them.
@@ -348,6 +349,12 @@ class Lexicon:
 LEXICON_SHARE = 1 / 20_000
 
 
+def street_keys(core: str) -> set[str]:
+    """Keys under which streets meet: the name with up to a letter left out; a number alone."""
+    key = core.replace(" ", "")
+    return {key} if key.isdigit() else deletions(key, 1)
+
+
 def resolve(items: list[tuple]) -> list[int]:
     """Cluster numbers of the tuples (zip, dir, core, type, unit, n) of one block.
 
@@ -362,9 +369,8 @@ def resolve(items: list[tuple]) -> list[int]:
     heads: list[list] = []
     for i in order:
         t = items[i]
-        key = t[2].replace(" ", "")
         near: set[int] = set()
-        dels = deletions(key, 1) if not key.isdigit() else {key}
+        dels = street_keys(t[2])
         # a unit meets only its own number and locations without one, so towers stay cheap
         for d in dels:
             for u in (t[4], "") if t[4] else (None,):
@@ -423,6 +429,12 @@ def locations(tuples: DataFrame) -> DataFrame:
 
         return blocks.map(one)
 
+    @pandas_udf(T.ArrayType(T.StringType()))
+    def keys(cores: pd.Series) -> pd.Series:
+        if not held:
+            held["x"] = Lexicon(shared.value)
+        return cores.map(lambda c: sorted(street_keys(held["x"].fix(c))))
+
     boxes = tuples.where("box != ''").select("id", F.min("id").over(_over("place", "box")).alias("loc"))
     streets = tuples.where("box = ''")
     size = streets.groupBy("place", "number").agg(F.count("*").alias("size"))
@@ -432,24 +444,21 @@ def locations(tuples: DataFrame) -> DataFrame:
     small = small.groupBy("place", "number").agg(F.collect_list(item).alias("b"))
     parts = [one, boxes, small.select(F.explode(run("b")).alias("r")).select("r.*")]
     if size.where(F.col("size") > BLOCK).limit(1).count():
-        # larger blocks: a tuple enters the sub-block of each deletion of its street; tuples that any of them
-        # puts together are one location
+        # larger blocks: tuples meet in resolve() only under a deletion of their streets, so what is connected by
+        # these is resolved in one call, and gives what the whole block would give
         large = streets.join(size.where(F.col("size") > BLOCK).select("place", "number"), ["place", "number"])
-        large = large.withColumn("k", F.explode(_street_keys("core"))).groupBy("place", "number", "k").agg(F.collect_list(item).alias("b"))
-        met = large.select("place", "number", "k", F.explode(run("b")).alias("r"))
-        member = met.select(F.col("r.id").alias("p"), F.xxhash64("place", "number", "k", "r.loc").alias("g"))
-        parts.append(components(cut(member, "p7-large"), "p7-labels").select(F.col("p").alias("id"), F.col("c").alias("loc")))
+        keyed = large.select(F.col("id").alias("p"), "place", "number", F.explode(keys("core")).alias("k"))
+        member = cut(keyed.select("p", F.xxhash64("place", "number", "k").alias("g")), "p7-large")
+        part = components(member, "p7-labels").select(F.col("p").alias("id"), "c")
+        drop_cut(member)
+        apart = large.join(part, "id").groupBy("c").agg(F.collect_list(item).alias("b"))
+        parts.append(apart.select(F.explode(run("b")).alias("r")).select("r.*"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def _street_keys(core: pd.Series) -> pd.Series:
-    return core.map(lambda c: [c] if c.isdigit() else sorted(deletions(c.replace(" ", ""), 1)))
-
-
 def _over(*keys: str):
     from pyspark.sql import Window
 
