@@ -312,6 +312,45 @@ def _people_udf(shards: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"p": [g[0] for g in got], "c": [g[1] for g in got]})
 
 
+@pandas_udf(T.ArrayType(T.StringType()))
+def _last_keys(last: pd.Series) -> pd.Series:
+    return last.map(names.last_keys)
+
+
+@pandas_udf(_LINKS)
+def _lasts_udf(shards: pd.Series) -> pd.DataFrame:
+    got = []
+    for s in shards:
+        rows = unpacked(s)
+        near, sets = names.near_lasts([r[1] or "" for r in rows]), names.Sets(len(rows))
+        for i, js in enumerate(near):
+            for j in js:
+                sets.join(i, j)
+        got.append(_shared_only(list(zip([r[0] for r in rows], sets.all()))))
+    return pd.DataFrame({"p": [g[0] for g in got], "c": [g[1] for g in got]})
+
+
+def _large_people(shards: DataFrame) -> DataFrame:
+    """(p, g): what ``_cluster_people`` gives, for shards of many people.
+
+    People meet by near last names or in swapped order only, so those that are connected by these are
+    linked in one call, with all their rivals.
+    """
+    f = F.split("item", _F)
+    rows = shards.select("key", "item", "last", F.get(f, F.lit(1)).alias("first"), F.get(f, F.lit(3)).alias("gen"), F.xxhash64("key", "last").alias("node"))
+    lasts = rows.select("key", "last", "node").distinct()
+    subs = lasts.select("key", packed("node", "last").alias("it"), F.explode(_last_keys("last")).alias("sub"))
+    subs = subs.groupBy("key", "sub").agg(F.count("*").alias("n"), F.array_join(F.collect_list("it"), _R).alias("s")).where("n > 1")
+    near = _grouped(subs.select("key", "sub", _lasts_udf("s").alias("l")), "key", "sub")
+    swap = rows.groupBy("key", F.least("first", "last").alias("a"), F.greatest("first", "last").alias("b"), "gen").agg(F.collect_set("node").alias("nodes"))
+    swap = swap.where(F.size("nodes") > 1).select(F.explode("nodes").alias("p"), F.xxhash64("key", "a", "b", "gen").alias("g"))
+    member = cut(near.unionByName(swap), "person-near")
+    part = components(member, "person-near-labels").select(F.col("p").alias("node"), "c")
+    drop_cut(member)
+    met = rows.join(part, "node", "left").groupBy(F.coalesce("c", "node").alias("c")).agg(F.array_join(F.collect_list("item"), _R).alias("s"))
+    return _grouped(met.select("c", _people_udf("s").alias("l")), "c")
+
+
 # Mailboxes that belong to no one person.
 SHARED_BOXES = ("info", "office", "contact", "sales", "admin", "hello", "mail", "support", "help", "team", "service", "services", "hr", "jobs", "billing", "enquiries", "inquiries")
 
@@ -340,15 +379,16 @@ def persons(members: DataFrame, business: DataFrame) -> DataFrame:
     name = F.concat_ws(_F, "first", "last", "gen")
     wide = people.select("q", "last", name.alias("nm"), packed("q", "first", "last", "gen").alias("item"), F.explode(keys).alias("key"))
     whole = wide.groupBy("key").agg(F.count("*").alias("n"), F.min("nm").alias("lo"), F.max("nm").alias("hi"))
-    some = wide.join(whole.where("n > 1"), "key")
+    some = cut(wide.join(whole.where("n > 1"), "key"), "person-shards")
     plain = some.where("lo = hi").select(F.col("q").alias("p"), F.xxhash64("key").alias("g"))
     rest = some.where("lo != hi")
     small = rest.where(F.col("n") <= names.SHARD).groupBy("key").agg(F.array_join(F.collect_list("item"), _R).alias("s"))
-    # a larger shard is divided by the last name with up to one letter left out
-    dels = F.array_distinct(F.concat(F.array("last"), F.transform(F.sequence(F.lit(1), F.length("last")), lambda i: F.concat(F.substring(F.col("last"), F.lit(1), i - 1), F.substring(F.col("last"), i + 1, F.lit(99))))))
-    split = rest.where(F.col("n") > names.SHARD).withColumn("k", F.explode(dels)).groupBy("key", "k").agg(F.array_join(F.collect_list("item"), _R).alias("s")).select(F.concat("key", F.lit("#"), "k").alias("key"), "s")
-    pairs = small.unionByName(split).select("key", _people_udf("s").alias("l")).select("key", F.explode(F.arrays_zip("l.p", "l.c")).alias("z"))
-    member = cut(plain.unionByName(pairs.select(F.col("z.p").alias("p"), F.xxhash64("key", "z.c").alias("g"))), "person-links")
+    member = plain.unionByName(_grouped(small.select("key", _people_udf("s").alias("l")), "key"))
+    large = rest.where(F.col("n") > names.SHARD)
+    if large.limit(1).count():
+        member = member.unionByName(_large_people(large))
+    member = cut(member, "person-links")
+    drop_cut(some)
     comp = components(member, "person-labels")
     drop_cut(member)
     return rows.join(comp.select(F.col("p").alias("q"), F.col("c").alias("person")), "q", "left").select("member_id", "pos", "name", F.coalesce("person", F.when(F.col("first").isNotNull(), F.col("q")), F.xxhash64("member_id", "pos")).alias("person"))

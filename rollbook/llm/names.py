@@ -426,6 +426,24 @@ def given(a: str, b: str) -> int:
     return 0
 
 
+def last_bound(last: str) -> int:
+    """Edits allowed for a last name."""
+    return 1 if len(last) < 8 else 2
+
+
+def last_keys(last: str) -> list[str]:
+    """Keys of a divided shard: last names within their bound share one."""
+    return sorted(dropped(last[:REACH], last_bound(last)))
+
+
+def near_lasts(lasts: list[str]) -> list[list[int]]:
+    """The other items whose last names are within the bound of each item's."""
+    trie = Trie()
+    for i, last in enumerate(lasts):
+        trie.add(last, i)
+    return [sorted(j for j in trie.near(last, last_bound(last)) if j != i) for i, last in enumerate(lasts)]
+
+
 def link_persons(names: list[tuple[str, str, str]]) -> list[int]:
     """Cluster numbers of distinct (first, last, generation) in one shard (a business or a mailbox)."""
     n = len(names)
@@ -439,10 +457,7 @@ def link_persons(names: list[tuple[str, str, str]]) -> list[int]:
 
     if n == 1:
         return [0]
-    trie = Trie()
-    for i, (_, last, _) in enumerate(names):
-        trie.add(last, i)
-    near = [sorted(j for j in trie.near(last, 1 if len(last) < 8 else 2) if j != i) for i, (_, last, _) in enumerate(names)]
+    near = near_lasts([last for _, last, _ in names])
 
     def gens(i: int) -> set[str]:
         r = find(i)
@@ -465,8 +480,9 @@ def link_persons(names: list[tuple[str, str, str]]) -> list[int]:
             if len(fits) == 1:
                 root[find(i)] = fits.pop()
     # swapped order without a comma
+    index = {k: i for i, k in enumerate(names)}
     for i, (first, last, gen) in enumerate(names):
-        for j in range(i):
-            if find(i) != find(j) and names[j][0] == last and names[j][1] == first and gen == names[j][2]:
-                root[find(i)] = find(j)
+        j = index.get((last, first, gen), i)
+        if j < i and find(i) != find(j):
+            root[find(i)] = find(j)
     return [find(i) for i in range(n)]
