@@ -127,23 +127,22 @@ def match(pairs: DataFrame) -> DataFrame:
     # start: pairs that agree on the name and on a number or place
     g = ((x[:, 0] >= 0.8) & ((x[:, 1] == 1) | (x[:, 2] == 1))).astype(float) * 0.9 + 0.05
     model = maximise(x, n, g)
-    marked = None
-    for r in range(ROUNDS):
-        g = posterior(x, model)
+
+    def constrained(g: np.ndarray) -> DataFrame:
+        """The pairs with ``p``, and whether they keep it: of rival pairs the likeliest does, the others lose theirs."""
         cells = spark.createDataFrame([(*map(float, v), float(p)) for v, p in zip(x, g)], ", ".join(f"{d} double" for d in DIMS) + ", p double")
-        if r in (ROUNDS // 2, ROUNDS - 1):
-            # transitivity: the likeliest of rival pairs keeps its responsibility, the others lose theirs
-            scored = pairs.join(F.broadcast(cells), list(DIMS))
-            order = (F.col("p").desc(), (F.col("name") + F.col("phone") + F.col("address") + F.col("website")).desc())
-            first = F.row_number().over(Window.partitionBy("npi").orderBy(*order, "business")) == 1
-            # a business may be known by more than one registry row only if nothing tells them apart
-            best = F.max("p").over(Window.partitionBy("business"))
-            marked = cut(scored.withColumn("keep", first & (F.col("p") >= best - 0.2)), "p2-marked")
-            kept = {tuple(v[d] for d in DIMS): (v["n"], v["k"]) for v in marked.groupBy(*DIMS).agg(F.count("*").alias("n"), F.sum(F.col("keep").cast("int")).alias("k")).collect()}
-            share = np.array([kept[tuple(v)][1] / kept[tuple(v)][0] for v in x.tolist()])
-            model = maximise(x, n, g * share)
-        else:
-            model = maximise(x, n, g)
+        scored = pairs.join(F.broadcast(cells), list(DIMS))
+        order = (F.col("p").desc(), (F.col("name") + F.col("phone") + F.col("address") + F.col("website")).desc())
+        first = F.row_number().over(Window.partitionBy("npi").orderBy(*order, "business")) == 1
+        # a business may be known by more than one registry row only if nothing tells them apart
+        best = F.max("p").over(Window.partitionBy("business"))
+        return scored.withColumn("keep", first & (F.col("p") >= best - 0.2))
+
+    for _ in range(ROUNDS):
+        g = posterior(x, model)
+        kept = {tuple(v[d] for d in DIMS): v["k"] / v["n"] for v in constrained(g).groupBy(*DIMS).agg(F.count("*").alias("n"), F.sum(F.col("keep").cast("int")).alias("k")).collect()}
+        model = maximise(x, n, g * np.array([kept[tuple(v)] for v in x.tolist()]))
+    marked = cut(constrained(posterior(x, model)), "p2-marked")
     return marked.where("keep and p > 0.5").select("business", "npi", F.col("p").alias("confidence"), *DIMS)
 
 
