@@ -55,7 +55,7 @@ _TEXT = "concat_ws(chr(10), name, 'Phone: ' || phone, 'Facsimile (fax): ' || fax
 _FLAT = f"trim(regexp_replace({_TEXT}, '\\s+', ' ', 'g'), ' ')"
 _READ = f"""with r as (select member_id, {_COLS}, coalesce({_W('contacts[1].email')}, '') as mail from members),
 v as (select member_id, length(name) > 1 and not regexp_full_match(name, '{_E}') and not regexp_matches(lower(name), '^(https?://|www\\.)') as good, regexp_matches(web, '^(https?:)?//[^/?#]') as linked, * exclude (member_id) from r)
-select member_id // 20 as page_id, (row_number() over (partition by member_id // 20 order by member_id) - 1)::int as pos, case when good then name when web <> '' and not regexp_matches(web, '^(mailto|tel):') then 'Site' end as company_name, coalesce(nullif(regexp_extract(name, '{_P}'), ''), nullif(regexp_extract(phone, '{_P}'), '')) as phone, nullif(regexp_extract(fax, '{_P}'), '') as fax,
+select member_id // 20 as page_id, (row_number() over (partition by member_id // 20 order by member_id) - 1)::int as pos, case when good then name when not regexp_matches(web, '^(mailto|tel):') then 'Site' end as company_name, coalesce(nullif(regexp_extract(name, '{_P}'), ''), nullif(regexp_extract(phone, '{_P}'), '')) as phone, nullif(regexp_extract(fax, '{_P}'), '') as fax,
 case when regexp_matches(split_part(mail, '?', 1), '^{_E}') then trim(split_part(mail, '?', 1), ' ') when regexp_matches(web, '^mailto: *{_E}') then trim(split_part(substr(web, 8), '?', 1), ' ') else nullif(regexp_extract(name || chr(10) || phone || chr(10) || fax || chr(10) || addr, '{_E}'), '') end as email,
 case when linked and not regexp_matches(lower(split_part(regexp_replace(web, '^(https?:)?//', ''), '/', 1)), '(^|\\.)({"|".join(cards.ELSEWHERE)})$') and not regexp_matches(lower(web), '/maps/|directions') then web else 'http://' || nullif(regexp_extract({_TEXT}, '{cards.WWW.pattern}'), '') end as website,
 case when regexp_matches({_FLAT}, '{_S}') then trim(regexp_extract({_FLAT}, '{_S}'), ' ') when regexp_matches(name, '{_Z}') and length(name) > 10 then name
