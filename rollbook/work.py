@@ -87,6 +87,15 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, tot
     return many.unionByName(rest)
 
 
+#: Rows up to which a written table is sent to all executors.
+SMALL = 100_000
+
+
+def look_up(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join with a written table whose rows are counted: broadcast up to ``SMALL`` rows, else shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= SMALL else right, key, how)
+
+
 def blank(c: Column) -> Column:
     """Null, or nothing but white space of any kind."""
     return c.isNull() | (F.regexp_replace(c, r"(?U)[\s\u200b\ufeff]+", "") == "")
