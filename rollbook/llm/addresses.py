@@ -27,6 +27,7 @@ from pyspark.sql.functions import pandas_udf
 
 from rollbook.llm.components import components
 from rollbook.llm.names import edits
+from rollbook.llm.pairs import differing
 from rollbook.work import cut, drop_cut
 
 #: Distinct parsed tuples up to which a block (place, number) is resolved in one call; a larger one is first taken apart
@@ -53,6 +54,8 @@ _ZIP = re.compile(r"(?<![\d-])(\d{5})(?:-\d{4})?(?![\d-])")
 _BLDG = re.compile(r"(?:^|,)\s*[^,\d#]*?\b(?:bldg|building|plaza|tower|center|centre|mall)\b\.?\s*(?=,|\d|$)")
 _TOKEN = re.compile(r"[a-z0-9']+")
 _HOUSE = re.compile(r"\d{1,6}[a-z]?$")
+_BREAK = re.compile(r"\s*[\r\n;|]+\s*|\s+[-–—]\s+")
+_DOTTED, _DOTTED_END = re.compile(r"\b([nsew])\.\s?([ew])\b\.?"), re.compile(r"\b([nsew])\.\s?([ew])\.?(?=[\s,]|$)")
 #: Values that state no address.
 EMPTY = r"(?i)^[\s.,;-]*(?:same(?: as (?:above|street|physical))?|n/?a|none|null|unknown|see website|-+)?[\s.,;-]*$"
 
@@ -62,8 +65,10 @@ def plain(s: str) -> str:
     if not s.isascii():
         s = unicodedata.normalize("NFKD", s)
         s = "".join(c for c in s if not unicodedata.combining(c) and c not in "\u200b\u200c\u200d\ufeff\u00ad")
-    s = re.sub(r"\s*[\r\n;|]+\s*|\s+[-–—]\s+", ", ", s.lower())
-    return re.sub(r"\s+", " ", s).strip(" ,.")
+    s = s.lower()
+    if any(c in s for c in "-;\n|\r–—"):
+        s = _BREAK.sub(", ", s)
+    return " ".join(s.split()).strip(" ,.")
 
 
 #: Names longer than this are no slips of others: they only match as they are.
@@ -144,21 +149,22 @@ def parse(text: str | None, g: Gazetteer) -> tuple | None:
         return None
     m = _PLAIN.fullmatch(s)
     if m and g.zip.get(m[6]) == (m[4], m[5]) and "box" not in m[2]:
-        words = _TOKEN.findall(re.sub(r"\b([nsew])\.\s?([ew])\b\.?", r"\1\2", m[2]) if "." in m[2] else m[2])
+        words = _TOKEN.findall(_DOTTED.sub(r"\1\2", m[2]) if "." in m[2] else m[2])
         direction, core, kind = _street(words)
         if core:
             return (m[4], m[6], "", m[1].lstrip("0") or "0", direction, core, kind, m[3] or "")
     s = _COUNTRY.sub(", ", s)
-    s = re.sub(r"\b([nsew])\.\s?([ew])\.?(?=[\s,]|$)", r"\1\2", s)
+    s = _DOTTED_END.sub(r"\1\2", s) if "." in s else s
     box = unit = zip_ = ""
     m = _BOX.search(s)
     if m:
         box = m.group(1).lstrip("0") or "0"
         s = s[: m.start()] + "," + s[m.end() :]
-    zips = _ZIP.findall(s)
+    zips = list(_ZIP.finditer(s))
     if zips:
-        zip_ = next((z for z in reversed(zips) if z in g.zip), zips[-1])
-        s = re.sub(rf"(?<![\d-]){zip_}(?:-\d{{4}})?(?![\d-])", " ,", s, count=1)
+        zip_ = next((m[1] for m in reversed(zips) if m[1] in g.zip), zips[-1][1])
+        m = next(m for m in zips if m[1] == zip_)
+        s = s[: m.start()] + " ," + s[m.end() :]
     m = _UNIT.search(s)
     if m:
         unit = m.group(1)
@@ -179,8 +185,8 @@ def parse(text: str | None, g: Gazetteer) -> tuple | None:
             if x[i - 1] in g.states and _HOUSE.fullmatch(x[i]) and not x[0][0].isdigit():
                 segs[k : k + 1] = [x[:i], x[i:]]
                 break
-    # state codes at the end of a segment, or alone
-    for x in segs:
+    # state codes alone, or at the end of a segment
+    for x in sorted(segs, key=lambda x: len(x) > 1):
         clear = x[-1] not in DIRECTIONS or any(g.city.get(" ".join(x[-n:-1]), ("", ""))[1] == x[-1] for n in (2, 3))
         if x[-1] in g.states and (len(x) == 1 or x[-1] == state or (not place and clear)) and (len(x) > 1 or len(segs) > 1):
             state = state or x[-1]
@@ -260,10 +266,12 @@ def _ordinal(t: str) -> str:
 
 def learn(texts: DataFrame) -> list[tuple[str, str, str]]:
     """(postcode, place, state) by majority over the well-formed strings of ``s``; at most 100,000 rows."""
-    low = F.lower(F.regexp_replace("s", r"(?U)\s+", " "))
+    blank = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    tail = rf"[,;][A-Za-z{blank}.'-]++[,;][{blank}]*+[A-Za-z]{{2}}[,;]?[{blank}]++\d{{5}}(?:-\d{{4}})?[{blank}]*+(?:,|$)"
     rx = r"[,;]\s*([a-z][a-z .'-]+?)\s*[,;]\s*([a-z]{2})[,;]?\s+(\d{5})(?:-\d{4})?\s*(?:,|$)"
-    hit = F.split(F.regexp_replace(F.regexp_extract(low, rx, 0), rx, "$3|$1|$2"), r"\|")
-    got = texts.where(F.col("s").rlike(r"[,;]\s*[A-Za-z]{2}[,;]?\s+\d{5}")).select(hit.alias("h")).where("size(h) = 3").select(F.col("h")[0].alias("z"), F.trim(F.col("h")[1]).alias("c"), F.col("h")[2].alias("st"))
+    # the end of the string is found in one scan; only it is tidied and taken apart
+    low = F.lower(F.regexp_replace(F.regexp_extract("s", tail, 0), rf"[{blank}]+", " "))
+    got = texts.select(F.split(F.regexp_replace(low, rx, "$3|$1|$2"), r"\|").alias("h")).where("size(h) = 3").select(F.col("h")[0].alias("z"), F.trim(F.col("h")[1]).alias("c"), F.col("h")[2].alias("st"))
     n = got.groupBy("z", "c", "st").agg(F.count("*").alias("n"))
     top = n.groupBy("z").agg(F.max_by(F.struct("c", "st"), F.struct("n", "c", "st")).alias("t"), F.max("n").alias("n"))
     rows = [(r["z"], r["t"]["c"], r["t"]["st"], r["n"]) for r in top.collect()]
@@ -449,7 +457,7 @@ def locations(tuples: DataFrame) -> DataFrame:
         large = streets.join(size.where(F.col("size") > BLOCK).select("place", "number"), ["place", "number"])
         keyed = large.select(F.col("id").alias("p"), "place", "number", F.explode(keys("core")).alias("k"))
         member = cut(keyed.select("p", F.xxhash64("place", "number", "k").alias("g")), "p7-large")
-        part = components(member, "p7-labels").select(F.col("p").alias("id"), "c")
+        part = components(member, "p7-labels").select(F.col("p").alias("id"), "c")  # each id has memberships, so it has a row
         drop_cut(member)
         apart = large.join(part, "id").groupBy("c").agg(F.collect_list(item).alias("b"))
         parts.append(apart.select(F.explode(run("b")).alias("r")).select("r.*"))
@@ -491,8 +499,7 @@ def same_location(table: DataFrame) -> DataFrame:
     are locations too. Repeated rows pair like any others where their strings differ.
     """
     recs = cut(records(table), "p7-records")
-    loc = cut(recs.join(located(recs).select("s", "loc"), "s").select("member_id", "field", "s", "loc"), "p7-located")
-    a = loc.select("loc", F.col("member_id").alias("member_id_a"), F.col("field").alias("field_a"), F.col("s").alias("s_a"))
-    b = loc.select("loc", F.col("member_id").alias("member_id_b"), F.col("field").alias("field_b"), F.col("s").alias("s_b"))
-    first = (F.col("member_id_a") < F.col("member_id_b")) | ((F.col("member_id_a") == F.col("member_id_b")) & (F.col("field_a") < F.col("field_b")))
-    return a.join(b, "loc").where(first & (F.col("s_a") != F.col("s_b"))).select("member_id_a", "field_a", "member_id_b", "field_b")
+    loc = recs.join(located(recs).select("s", "loc"), "s").select("member_id", "field", "s", "loc")
+    rows = loc.select(F.col("loc").alias("g"), F.xxhash64("s").alias("s"), "member_id", "field")
+    got = differing(rows, ("member_id", "field"), "p7-rows").where("a < b")
+    return got.select(F.col("a.member_id").alias("member_id_a"), F.col("a.field").alias("field_a"), F.col("b.member_id").alias("member_id_b"), F.col("b.field").alias("field_b"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,25 +20,30 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from rollbook.llm import addresses, names
-from rollbook.llm.components import components
+from rollbook.llm.components import components, linked, stars
+from rollbook.llm.pairs import differing
 from rollbook.llm.residue import is_residue
-from rollbook.work import cut, drop_cut
+from rollbook.work import cut, drop_cut, look_up
 
 
 def digits10(c: Column) -> Column:
-    """Ten digits of a full phone number that is no dummy; null otherwise. Extensions are left out.
-
-    One pattern takes the number apart, so the text is scanned once.
-    """
-    rx = r"(?i)^\s*(?:tel:)?[\s+(.\-]*1?[\s(.\-]*(\d{3})[\s().\-]*(\d{3})[\s.\-]*(\d{4})\s*(?:(?:ext\.?|extension|x)\s*\d+)?\s*$"
-    d = F.nullif(F.regexp_replace(F.regexp_extract(c, rx, 0), rx, "$1$2$3"), F.lit(""))
-    return F.when(~d.rlike(r"^(\d)\1{9}$|^1234567890$|^0123456789$|^9876543210$|^\d{3}55501\d\d$"), d)
+    """Ten digits of a full phone number that is no dummy; null otherwise. Separators of any kind, a leading 1 and
+    extensions are left out."""
+    s = F.lower(c)
+    s = F.when(s.contains("x"), F.regexp_replace(s, r"(?:ext\.?|extension|x)\s*\d+\s*$", "")).otherwise(s)
+    s = F.regexp_replace(s, r"[^0-9a-z]+", "")
+    s = F.when(s.startswith("tel"), F.substring(s, 4, 1_000)).otherwise(s)
+    s = F.when((F.length(s) == 11) & s.startswith("1"), F.substring(s, 2, 10)).otherwise(s)
+    full = (F.length(s) == 10) & (F.translate(s, "0123456789", "") == "")
+    dummy = s.isin("1234567890", "0123456789", "9876543210") | (F.substring(s, 4, 5) == "55501") | (s == F.repeat(F.substring(s, 1, 1), F.lit(10)))
+    return F.when(full & ~dummy, s)
 
 
 def host(c: Column) -> Column:
     """Host of a web address, without ``www.``; null for mail addresses, fragments, junk and profile pages."""
     s = F.lower(F.trim(c))
-    s = F.when(~s.rlike(r"/(?:profiles?|listings?|find-a-pro|directory)/"), s)  # a page of a directory
+    listed = s.contains("/profile") | s.contains("/listing") | s.contains("/find-a-pro/") | s.contains("/directory/")
+    s = F.when(~(listed & s.rlike(r"/(?:profiles?|listings?|find-a-pro|directory)/")), s)  # a page of a directory
     h = F.regexp_extract(s, r"^(?:https?://)?(?:www\.)?((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,})(?::\d+)?(?:[/?#]|$)", 1)
     return F.when(h != "", h)
 
@@ -48,14 +54,16 @@ def domain(h: Column) -> Column:
 
 
 def directory_domains(members: DataFrame) -> DataFrame:
-    """Domains of the pages that records were taken from. Directories are few (120 in the test tables), but the
-    number is not bounded, so joins with them are left to the planner."""
-    return members.select(domain(host(F.col("source_url"))).alias("dom")).where("dom is not null").distinct()
+    """Domains of the pages that records were taken from, one row each. Hosts are read once per distinct address."""
+    # no filter on the domain: it would be read once per row again
+    return members.select("source_url").distinct().select(domain(host(F.col("source_url"))).alias("dom")).distinct()
 
 
 def own_host(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """``rows`` with ``host`` set to null where it is a directory's."""
-    flagged = rows.withColumn("dom", domain(F.col("host"))).join(directory_domains(members).withColumn("_d", F.lit(True)), "dom", "left")
+    """``rows`` with ``host`` set to null where it is a directory's. Directories are few (120 in the test tables), but
+    their number is not bounded, so their domains are counted before they are broadcast."""
+    known = cut(directory_domains(members).withColumn("_d", F.lit(True)), "entity-directories")
+    flagged = look_up(rows.withColumn("dom", domain(F.col("host"))), known, "dom", "left")
     return flagged.withColumn("host", F.when(F.col("_d").isNull(), F.col("host"))).drop("_d", "dom")
 
 
@@ -66,8 +74,11 @@ def usable_name(c: Column) -> Column:
     return c.isNotNull() & (F.regexp_replace(c, r"(?U)[\s\u200b\ufeff]+", "") != "") & ~other & ~is_residue(c)
 
 
+_READ = "core string, trade string, cut boolean, place string, spot string, box string"
+
+
 def featured(table: DataFrame, key: str, extra: list[str] = []) -> DataFrame:
-    """One row per ``key``: core, trade, cut, phone, fax, host, place, spot, box.
+    """One row per ``key``: phone, fax, host, core, trade, cut, place, spot, box.
 
     ``spot`` is place and house number, ``box`` place and box number; each is null where not stated.
     Names and addresses are read in one pass over the rows, without a shuffle; only the gazetteer, at
@@ -75,37 +86,33 @@ def featured(table: DataFrame, key: str, extra: list[str] = []) -> DataFrame:
     """
     texts = table.select(F.explode(F.array("street_address", "mailing_address")).alias("s"))
     shared = table.sparkSession.sparkContext.broadcast(addresses.learn(texts.where(F.col("s").rlike(r"\d"))))
-    name = F.when(usable_name(F.col("company_name")), F.col("company_name"))
-    stated = lambda c: F.when(F.col(c).rlike(r"\d"), F.col(c)).alias(c)
-    base = table.select(key, name.alias("name"), stated("street_address"), stated("mailing_address"), digits10(F.col("phone")).alias("phone"), digits10(F.col("fax")).alias("fax"), host(F.col("website")).alias("host"), *extra)
-    kept = [key, "phone", "fax", "host", *extra]
-    kinds = dict(base.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @pandas_udf(_READ)
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         g = addresses.Gazetteer(shared.value)
 
-        def read(street: str | None, mail: str | None) -> tuple:
+        def places(street: str | None, mail: str | None) -> tuple:
             a, b = addresses.parse(street, g), addresses.parse(mail, g)
             place = [x[0] if x and x[0] and x[0][0] != "?" else None for x in (a, b)]
             spot = f"{place[0]}|{a[3]}" if a and a[3] and place[0] else None
             box = next((f"{p}|{x[2]}" for x, p in ((b, place[1]), (a, place[0])) if x and x[2] and p), None)
             return place[0] or place[1], spot, box
 
-        for b in batches:
-            named = [names.company(n) if n else (None, None, None) for n in b["name"]]
-            where = [read(s, m) for s, m in zip(b["street_address"], b["mailing_address"])]
-            out = b[kept].copy()
-            for k, c in enumerate(("core", "trade", "cut")):
-                out[c] = pd.Series([x[k] if x[0] else None for x in named], dtype=object, index=b.index)
-            for k, c in enumerate(("place", "spot", "box")):
-                out[c] = pd.Series([x[k] for x in where], dtype=object, index=b.index)
-            yield out
+        for name, street, mail in batches:
+            rows = []
+            for n, s, m in zip(name, street, mail):
+                core, trade, cut = names.company(n) if n else (None, None, None)
+                rows.append((core, trade, cut, *places(s, m)) if core else (None, None, None, *places(s, m)))
+            yield pd.DataFrame(rows, columns=["core", "trade", "cut", "place", "spot", "box"], dtype=object)
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", core string, trade string, cut boolean, place string, spot string, box string"
-    return base.mapInPandas(run, schema)
+    name = F.when(usable_name(F.col("company_name")), F.col("company_name"))
+    stated = lambda c: F.when(F.col(c).rlike(r"\d"), F.col(c))
+    base = table.select(key, *extra, name.alias("_n"), stated("street_address").alias("_s"), stated("mailing_address").alias("_m"), digits10(F.col("phone")).alias("phone"), digits10(F.col("fax")).alias("fax"), host(F.col("website")).alias("host"))
+    got = base.withColumn("_f", read("_n", "_s", "_m"))
+    return got.select(key, *extra, "phone", "fax", "host", "_f.*")
 
 
-_LINKS = T.StructType([T.StructField("p", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.IntegerType()))])
+_LINKS = T.StructType([T.StructField("p", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.LongType()))])
 #: Signs between the fields of a profile and between the profiles of a shard; they do not occur in values.
 _F, _R = "\x1f", "\x1e"
 
@@ -119,11 +126,15 @@ def unpacked(shard: str) -> list[list]:
     return [[int(r[0]), *[x or None for x in r[1:]]] for r in (x.split(_F) for x in shard.split(_R))]
 
 
+#: Shards of one business follow each other, often with the same names.
+_link_companies = lru_cache(maxsize=1_000)(lambda keys: names.link_companies(list(keys)))
+
+
 def _cluster(shard: str) -> list[tuple[int, int]]:
     """(profile, cluster) in one shard: by name; nameless profiles join by phone or host, or the only cluster."""
     rows = [(p, core, trade or "", cut == "true", phone, host) for p, core, trade, cut, phone, host in unpacked(shard)]
     keys = sorted({r[1:4] for r in rows if r[1]})
-    where = dict(zip(keys, names.link_companies(keys))) if keys else {}
+    where = dict(zip(keys, _link_companies(tuple(keys)))) if keys else {}
     out, empty = [], []
     phones: dict[int, set] = {}
     hosts: dict[int, set] = {}
@@ -158,19 +169,76 @@ def _split(pairs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return [p for p, _ in pairs], [c for _, c in pairs]
 
 
+def _rooted(pairs: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """(members, the smallest member of each one's cluster), without the smallest themselves."""
+    low: dict[int, int] = {}
+    for p, c in pairs:
+        low[c] = min(p, low.get(c, p))
+    return _split([(p, low[c]) for p, c in pairs if p != low[c]])
+
+
 @pandas_udf(_LINKS)
 def _cluster_udf(shards: pd.Series) -> pd.DataFrame:
-    got = [_split(_cluster(s)) for s in shards]
+    got = [_rooted(_cluster(s)) for s in shards]
     return pd.DataFrame({"p": [g[0] for g in got], "c": [g[1] for g in got]})
 
 
 FEATURES = ["core", "trade", "cut", "phone", "fax", "host", "place", "spot", "box"]
 
 
-def member_features(members: DataFrame) -> DataFrame:
-    """(member_id, *FEATURES, h) of all rows, written once; ``h`` is the hash of the features."""
-    own = own_host(featured(members, "member_id"), members)
-    return cut(own.select("member_id", *FEATURES).withColumn("h", F.xxhash64(*FEATURES)), "entity-rows")
+def member_features(members: DataFrame, extra: list[str] = []) -> DataFrame:
+    """(member_id, *extra, *FEATURES, h, k) of all rows, written once; ``h`` and ``k`` are hashes of the features, 128 bits
+    together."""
+    own = own_host(featured(members, "member_id", extra), members)
+    return cut(own.select("member_id", *extra, *FEATURES).withColumns({"h": F.xxhash64(*FEATURES), "k": F.xxhash64(F.lit(1), *FEATURES)}), "entity-rows")
+
+
+def _bare(*cols: str) -> Column:
+    return F.coalesce(*cols).isNull()
+
+
+def profile_businesses(rows: DataFrame) -> DataFrame:
+    """(h, k, business, n): the smallest ``member_id`` of the business of each profile, and the rows of that business.
+
+    Profiles with nothing to link by have no row. All keys are numbers while profiles meet; names are only
+    fetched for the shards whose profiles differ.
+    """
+    profiles = rows.where(~_bare("phone", "fax", "host", "spot", "box")).groupBy("h", "k", *FEATURES).agg(F.min("member_id").alias("p"), F.count("*").alias("rows"))
+    profiles = cut(profiles, "entity-profiles")
+    tag = lambda t, *c: F.when(F.concat(*c).isNotNull(), F.xxhash64(F.lit(t), *c))
+    keys = F.array_compact(F.array(tag("p", F.col("phone")), tag("p", F.col("fax")), tag("s", F.col("spot")), tag("b", F.col("box")), tag("h", F.col("host"), F.col("place"))))
+    core = F.when(F.col("core").isNotNull(), F.xxhash64("core"))
+    wide = profiles.select("p", core.alias("nm"), F.explode(F.array_distinct(keys)).alias("key"))
+    whole = wide.groupBy("key").agg(F.count("*").alias("n"), F.count("nm").alias("named"), F.min("nm").alias("lo"), F.max("nm").alias("hi"), F.min("p").alias("q"), F.bit_xor(F.xxhash64("p")).alias("all"), F.bit_xor(F.xxhash64(F.lit(1), "p")).alias("all2"))
+    # of shards of the same profiles one will do
+    whole = whole.where("n > 1").groupBy("n", "q", "all", "all2").agg(F.min("key").alias("key"), F.min("named").alias("named"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    alike = F.coalesce((F.col("n") == F.col("named")) & (F.col("lo") == F.col("hi")), F.lit(False))
+    some = cut(wide.select("p", "key").join(whole.select("key", "q", F.when(~alike, F.col("n")).alias("n")), "key"), "entity-shards")
+    # a profile has at most five keys, so no task gets many shards of one ``q``
+    # shards of one core need no comparison
+    pairs = some.where("n is null and p > q").select("p", "q")
+    item = profiles.select("p", F.concat_ws(_F, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("p", "core", "trade", "cut", "phone", "host")]).alias("item"))
+    small = some.where(F.col("n") <= names.SHARD).select("p", "q", "key").join(item, "p").repartition("q").groupBy("q", "key").agg(F.array_join(F.collect_list("item"), _R).alias("s"))
+    near = small.select(_cluster_udf("s").alias("l")).select(F.explode(F.arrays_zip("l.p", "l.c")).alias("z"))
+    pairs = pairs.unionByName(near.select(F.col("z.p").alias("p"), F.col("z.c").alias("q")))
+    large = some.where(F.col("n") > names.SHARD).select("p", "key")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(stars(cut(_large_shards(large.join(item, "p")), "entity-large")))
+    pairs = cut(pairs, "entity-links")
+    drop_cut(some)
+    labels = linked(pairs, "entity-labels")
+    placed = ~_bare("phone", "fax", "spot", "box")
+    known = cut(profiles.select("h", "k", "p", "rows", "host", placed.alias("placed")).join(labels, "p", "left").withColumn("c", F.coalesce("c", "p")), "entity-known")
+    drop_cut(pairs)
+    # profiles known by their host alone join the host's business if it has only one
+    lost = known.where("host is not null and not placed")
+    if not lost.isEmpty():
+        ones = known.where("host is not null and placed").groupBy("host").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        kin = lost.groupBy("host").agg(F.min("c").alias("kin")).join(ones, "host", "left")
+        to = F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNull(), F.col("kin")).otherwise(F.col("c"))
+        known = known.where("host is null or placed").select("h", "k", "p", "rows", "c").unionByName(lost.join(kin, "host").select("h", "k", "p", "rows", to.alias("c")))
+    firms = known.groupBy("c").agg(F.min("p").alias("business"), F.sum("rows").alias("n"))
+    return known.select("h", "k", "c").join(firms, "c").select("h", "k", "business", "n")
 
 
 def businesses(members: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -180,42 +248,8 @@ def businesses(members: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     stay apart: names only count within shared evidence.
     """
     rows = member_features(members) if rows is None else rows
-    feats = FEATURES
-    bare_row = F.coalesce("phone", "fax", "host", "spot", "box").isNull()
-    profiles = rows.groupBy("h").agg(F.min("member_id").alias("p"), *[F.first(f).alias(f) for f in feats])
-    profiles = cut(profiles.where(~bare_row), "entity-profiles")
-    tag = lambda t, *c: F.concat(F.lit(t), *c)
-    keys = F.array_compact(
-        F.array(tag("p:", "phone"), tag("p:", "fax"), tag("s:", "spot"), tag("b:", "box"), F.when(F.col("place").isNotNull(), tag("h:", "host", F.lit("|"), "place")))
-    )
-    wide = profiles.select("p", F.col("core").alias("nm"), packed("p", "core", "trade", "cut", "phone", "host").alias("item"), F.explode(F.array_distinct(keys)).alias("key"))
-    whole = wide.groupBy("key").agg(F.count("*").alias("n"), F.count("nm").alias("named"), F.min("nm").alias("lo"), F.max("nm").alias("hi"), F.approx_count_distinct("nm", 0.1).alias("k"))
-    alike = F.coalesce((F.col("n") == F.col("named")) & (F.col("lo") == F.col("hi")), F.lit(False))
-    some = cut(wide.join(whole.where("n > 1").select("key", "k", alike.alias("alike")), "key"), "entity-shards")
-    # shards of one core need no comparison
-    plain = some.where("alike").select("p", F.xxhash64("key").alias("g"))
-    rest = some.where("not alike")
-    small = rest.where(F.col("k") <= names.SHARD).groupBy("key").agg(F.array_join(F.collect_list("item"), _R).alias("s"))
-    member = plain.unionByName(_grouped(small.select("key", _cluster_udf("s").alias("l")), "key"))
-    large = rest.where(F.col("k") > names.SHARD)
-    if large.limit(1).count():
-        member = member.unionByName(_large_shards(large))
-    member = cut(member, "entity-links")
-    drop_cut(some)
-    linked_labels = components(member, "entity-labels")
-    drop_cut(member)
-    comp = profiles.select("p").join(linked_labels, "p", "left").select("p", F.coalesce("c", "p").alias("c"))
-    # profiles known by their host alone join the host's business if it has only one
-    known = profiles.select("p", "host", "core", F.coalesce("phone", "fax", "spot", "box").isNotNull().alias("placed")).join(comp, "p")
-    ones = known.where("host is not null and placed").groupBy("host").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    lost = known.where("host is not null and not placed").join(ones, "host", "left")
-    kin = lost.groupBy("host").agg(F.min("c").alias("kin"))
-    fix = lost.join(kin, "host").select("p", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNull(), F.col("kin")).otherwise(F.col("c")).alias("to"))
-    comp = comp.join(fix, "p", "left").select("p", F.coalesce("to", "c").alias("c"))
-    done = rows.select("member_id", "h", F.col("core").isNotNull().alias("named")).join(profiles.select("h", "p").join(comp, "p").select("h", "c"), "h", "left")
-    done = done.select("member_id", "named", F.coalesce("c", "member_id").alias("c"))
-    low = done.groupBy("c").agg(F.min("member_id").alias("business"))
-    return done.join(low, "c").select("member_id", "business", "named")
+    done = rows.select("member_id", "h", "k", F.col("core").isNotNull().alias("named")).join(profile_businesses(rows).drop("n"), ["h", "k"], "left")
+    return done.select("member_id", F.coalesce("business", "member_id").alias("business"), "named")
 
 
 def _grouped(linked: DataFrame, *keys: str) -> DataFrame:
@@ -308,7 +342,7 @@ def _cluster_people(shard: str) -> list[tuple[int, int]]:
 
 @pandas_udf(_LINKS)
 def _people_udf(shards: pd.Series) -> pd.DataFrame:
-    got = [_split(_cluster_people(s)) for s in shards]
+    got = [_rooted(_cluster_people(s)) for s in shards]
     return pd.DataFrame({"p": [g[0] for g in got], "c": [g[1] for g in got]})
 
 
@@ -331,7 +365,7 @@ def _lasts_udf(shards: pd.Series) -> pd.DataFrame:
 
 
 def _large_people(shards: DataFrame) -> DataFrame:
-    """(p, g): what ``_cluster_people`` gives, for shards of many people.
+    """(p, q): what ``_cluster_people`` gives, for shards of many people; q is the smallest of p's cluster.
 
     People meet by near last names or in swapped order only, so those that are connected by these are
     linked in one call, with all their rivals.
@@ -348,50 +382,51 @@ def _large_people(shards: DataFrame) -> DataFrame:
     part = components(member, "person-near-labels").select(F.col("p").alias("node"), "c")
     drop_cut(member)
     met = rows.join(part, "node", "left").groupBy(F.coalesce("c", "node").alias("c")).agg(F.array_join(F.collect_list("item"), _R).alias("s"))
-    return _grouped(met.select("c", _people_udf("s").alias("l")), "c")
+    z = met.select(_people_udf("s").alias("l")).select(F.explode(F.arrays_zip("l.p", "l.c")).alias("z"))
+    return z.select(F.col("z.p").alias("p"), F.col("z.c").alias("q"))
 
 
 # Mailboxes that belong to no one person.
 SHARED_BOXES = ("info", "office", "contact", "sales", "admin", "hello", "mail", "support", "help", "team", "service", "services", "hr", "jobs", "billing", "enquiries", "inquiries")
 
 
+@pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in ("first", "last", "gen")]))
+def _person(names_: pd.Series) -> pd.DataFrame:
+    none = (None, None, None)
+    return pd.DataFrame([p if (p := names.person(n)) and p[0] and p[1] else none for n in names_], columns=["first", "last", "gen"], dtype=object)
+
+
 def persons(members: DataFrame, business: DataFrame) -> DataFrame:
-    """(member_id, pos, name, person): contacts with a name, and a number for each person.
+    """(member_id, pos, s, person): contacts with a name that is no residue, the name's number, and a number for each person.
 
     Contacts of one business are linked by name; across businesses only by a mailbox of their own
     together with the name. Contacts whose name has no two parts are persons of their own.
     """
     flat = members.select("member_id", F.posexplode("contacts").alias("pos", "c")).select("member_id", "pos", "c.name", F.lower(F.regexp_replace(F.regexp_replace("c.email", r"(?i)^\s*mailto:", ""), r"\?.*$|\s+", "")).alias("email"))
-    flat = flat.where("name is not null and trim(name) != ''")
-    distinct = flat.select("name").distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(n, *p) for n in b["name"] if (p := names.person(n)) and p[0] and p[1]]
-            yield pd.DataFrame(rows, columns=["name", "first", "last", "gen"])
-
-    known = distinct.mapInPandas(run, "name string, first string, last string, gen string")
-    box = F.when(F.col("email").rlike(r"^[^@\s]+@[^@\s]+\.[a-z]+$") & ~F.substring_index("email", "@", 1).isin(*SHARED_BOXES), F.col("email"))
-    rows = flat.join(known, "name", "left").join(business, "member_id").select("member_id", "pos", "name", box.alias("email"), "first", "last", "gen", "business")
-    rows = cut(rows.withColumn("q", F.xxhash64("business", "email", "first", "last", "gen")), "person-rows")
-    people = rows.where("first is not null").select("q", "business", "email", "first", "last", "gen").distinct()
-    keys = F.array_compact(F.array(F.concat(F.lit("b:"), F.col("business").cast("string")), F.concat(F.lit("e:"), "email")))
-    name = F.concat_ws(_F, "first", "last", "gen")
-    wide = people.select("q", "last", name.alias("nm"), packed("q", "first", "last", "gen").alias("item"), F.explode(keys).alias("key"))
-    whole = wide.groupBy("key").agg(F.count("*").alias("n"), F.min("nm").alias("lo"), F.max("nm").alias("hi"))
-    some = cut(wide.join(whole.where("n > 1"), "key"), "person-shards")
-    plain = some.where("lo = hi").select(F.col("q").alias("p"), F.xxhash64("key").alias("g"))
-    rest = some.where("lo != hi")
-    small = rest.where(F.col("n") <= names.SHARD).groupBy("key").agg(F.array_join(F.collect_list("item"), _R).alias("s"))
-    member = plain.unionByName(_grouped(small.select("key", _people_udf("s").alias("l")), "key"))
-    large = rest.where(F.col("n") > names.SHARD)
-    if large.limit(1).count():
-        member = member.unionByName(_large_people(large))
-    member = cut(member, "person-links")
+    flat = flat.where("name is not null and trim(name) != ''").withColumn("_n", _person("name"))
+    box = F.when(F.col("email").rlike(r"^[^@\s]+@[^@\s]+\.[a-z]+$") & ~F.substring_index("email", "@", 1).isin(*SHARED_BOXES), F.xxhash64("email"))
+    sound = ~F.col("name").rlike(r"[{}\[\]<>%*@_~$#&]") | ~is_residue(F.col("name"))
+    flat = flat.select("member_id", "pos", F.xxhash64("name").alias("s"), sound.alias("sound"), box.alias("box"), "_n.*")
+    rows = cut(flat.join(business.select("member_id", "business"), "member_id").withColumn("q", F.xxhash64("business", "box", "first", "last", "gen")), "person-rows")
+    people = cut(rows.where("first is not null").groupBy("q", "business", "box", "first", "last", "gen").agg(F.lit(1).alias("one")).drop("one"), "person-people")
+    tag = lambda t, c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(t), c))
+    wide = people.select("q", F.xxhash64("first", "last", "gen").alias("nm"), F.explode(F.array_compact(F.array(tag("b", "business"), tag("e", "box")))).alias("key"))
+    whole = wide.groupBy("key").agg(F.count("*").alias("n"), F.min("nm").alias("lo"), F.max("nm").alias("hi"), F.min("q").alias("low")).where("n > 1")
+    some = cut(wide.select("q", "key").join(whole.select("key", "low", F.when(F.col("lo") != F.col("hi"), F.col("n")).alias("n")), "key"), "person-shards")
+    pairs = some.where("n is null and q > low").select(F.col("q").alias("p"), F.col("low").alias("q"))
+    item = people.select("q", "last", packed("q", "first", "last", "gen").alias("item"))
+    small = some.where(F.col("n") <= names.SHARD).select("q", "key").join(item, "q").groupBy("key").agg(F.array_join(F.collect_list("item"), _R).alias("s"))
+    near = small.select(_people_udf("s").alias("l")).select(F.explode(F.arrays_zip("l.p", "l.c")).alias("z"))
+    pairs = pairs.unionByName(near.select(F.col("z.p").alias("p"), F.col("z.c").alias("q")))
+    large = some.where(F.col("n") > names.SHARD).select("q", "key")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_large_people(large.join(item, "q")))
+    pairs = cut(pairs, "person-links")
     drop_cut(some)
-    comp = components(member, "person-labels")
-    drop_cut(member)
-    return rows.join(comp.select(F.col("p").alias("q"), F.col("c").alias("person")), "q", "left").select("member_id", "pos", "name", F.coalesce("person", F.when(F.col("first").isNotNull(), F.col("q")), F.xxhash64("member_id", "pos")).alias("person"))
+    comp = linked(pairs, "person-labels").select(F.col("p").alias("q"), F.col("c").alias("person"))
+    drop_cut(pairs)
+    person = F.coalesce("person", F.when(F.col("first").isNotNull(), F.col("q")), F.xxhash64("member_id", "pos"))
+    return rows.where("sound").select("member_id", "pos", "s", "first", "q").join(comp, "q", "left").select("member_id", "pos", "s", person.alias("person"))
 
 
 def variants(members: DataFrame, business: DataFrame) -> DataFrame:
@@ -400,11 +435,11 @@ def variants(members: DataFrame, business: DataFrame) -> DataFrame:
     Names cut off count. Blank names, residues, and company names that are a mail address, web address
     or phone number have no pairs. Repeated rows pair where their strings differ.
     """
-    firm = members.select("member_id", F.col("company_name").alias("s")).join(business.where("named"), "member_id")
-    firm = firm.select(F.lit("company_name").alias("field"), F.col("business").alias("e"), "member_id", F.lit(0).alias("pos"), "s")
-    who = persons(members, business).where(~F.col("name").rlike(r"[{}\[\]<>%*@_~$#&]") | ~is_residue(F.col("name"))).select(F.lit("contacts.name").alias("field"), F.col("person").alias("e"), "member_id", F.col("pos").cast("int").alias("pos"), F.col("name").alias("s"))
-    both = cut(firm.unionByName(who), "p3-strings")
-    a = both.select("field", "e", F.col("member_id").alias("member_id_a"), F.col("pos").alias("pos_a"), F.col("s").alias("s_a"))
-    b = both.select("field", "e", F.col("member_id").alias("member_id_b"), F.col("pos").alias("pos_b"), F.col("s").alias("s_b"))
-    first = (F.col("member_id_a") < F.col("member_id_b")) | ((F.col("member_id_a") == F.col("member_id_b")) & (F.col("pos_a") < F.col("pos_b")))
-    return a.join(b, ["field", "e"]).where(first & (F.col("s_a") != F.col("s_b"))).select("field", "member_id_a", "pos_a", "member_id_b", "pos_b")
+    firm = members.select("member_id", F.xxhash64("company_name").alias("s")).join(business.where("named"), "member_id")
+    firm = firm.select(F.col("business").alias("g"), "s", F.lit(-1).alias("pos"), "member_id")
+    who = persons(members, business).select(F.col("person").alias("g"), "s", "pos", "member_id")
+    # a person's number may be a business's too
+    both = firm.unionByName(who).withColumn("g", F.xxhash64("g", F.col("pos") < 0))
+    got = differing(both, ("member_id", "pos"), "p3-strings").where("a < b")
+    field = F.when(F.col("a.pos") < 0, "company_name").otherwise("contacts.name").alias("field")
+    return got.select(field, F.col("a.member_id").alias("member_id_a"), F.greatest("a.pos", F.lit(0)).alias("pos_a"), F.col("b.member_id").alias("member_id_b"), F.greatest("b.pos", F.lit(0)).alias("pos_b"))

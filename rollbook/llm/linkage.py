@@ -61,22 +61,23 @@ def _same(a: Column, b: Column) -> Column:
 def candidates(firms: DataFrame, registry: DataFrame) -> DataFrame:
     """(business, npi, name, phone, address, website): the best similarity of any profile of a business, per pair.
 
-    A side's rows meet the other's only under a shared key. Keys are joined as they are: the registry
-    side of any key is small, so the pairs grow with the rows of ``firms``.
+    A side's rows meet the other's only under a shared key. Keys are numbers, joined as they are: the registry
+    side of any key is small, so the pairs grow with the rows of ``firms``. The values come in afterwards.
     """
 
     def keys() -> Column:
-        tag = lambda t, *c: F.concat(F.lit(t), *c)
+        tag = lambda t, *c: F.when(F.concat(*c).isNotNull(), F.xxhash64(F.lit(t), *c))
         initial = F.when(F.length(F.regexp_replace("core", " ", "")) > 3, _tokens(F.col("core")))
-        return F.array_distinct(
-            F.array_compact(F.array(tag("p:", "phone"), tag("p:", "fax"), tag("s:", "spot"), tag("n:", initial, F.lit("|"), "place"), tag("h:", "host")))
-        )
+        return F.array_distinct(F.array_compact(F.array(tag("p", F.col("phone")), tag("p", F.col("fax")), tag("s", F.col("spot")), tag("n", initial, F.col("place")), tag("h", F.col("host")))))
 
-    side = ["core", "phone", "fax", "host", "place", "spot"]
-    a = firms.select("business", *side, F.explode(keys()).alias("key"))
-    b = registry.select("npi", *[F.col(c).alias(f"r_{c}") for c in side], F.explode(keys()).alias("key"))
+    side = ["core", "phone", "host", "place", "spot"]
+    firms = cut(firms.withColumn("id", F.xxhash64(*firms.columns)), "p2-firms")
+    registry = cut(registry, "p2-registry")
+    a = firms.select("id", F.explode(keys()).alias("key"))
+    b = registry.select("npi", F.explode(keys()).alias("key"))
     # neither side is bounded, so both are shuffled at every size
-    both = a.join(b.hint("merge"), "key").drop("key").distinct()
+    met = a.join(b.hint("merge"), "key").select("id", "npi").distinct()
+    both = met.join(firms.select("id", "business", *side), "id").join(registry.select("npi", *[F.col(c).alias(f"r_{c}") for c in side]), "npi")
     address = (
         F.when(F.col("spot") == F.col("r_spot"), 1.0)
         .when(F.col("place").isNull() | F.col("r_place").isNull(), 0.5)

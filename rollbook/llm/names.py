@@ -33,6 +33,8 @@ TRADE = frozenset(
 )
 _DBA = re.compile(r"\b(?:d\s*/?\s*b\s*/?\s*a|d\.b\.a\.?|doing business as|t/a|trading as)\b\s*[:.]?\s*", re.I)
 _CUT = re.compile(r"(?:…|\.\s?\.+)\s*$")
+_BLANKS, _ASIDE, _CAMEL = re.compile(r"\s+"), re.compile(r"\s*\([^()]*\)\s*$"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+_OWNER, _WORD = re.compile(r"'s\b|(?<=[a-z])'(?=s\b)"), re.compile(r"[a-z0-9]+")
 
 
 def bare(s: str) -> str:
@@ -40,7 +42,7 @@ def bare(s: str) -> str:
     if not s.isascii():
         s = unicodedata.normalize("NFKD", s)
         s = "".join(c for c in s if not unicodedata.combining(c) and c not in "\u200b\u200c\u200d\ufeff\u00ad").replace("’", "'").replace("‘", "'")
-    return re.sub(r"\s+", " ", s).strip()
+    return _BLANKS.sub(" ", s).strip()
 
 
 def cut_off(s: str) -> bool:
@@ -57,10 +59,10 @@ def company(name: str) -> tuple[str, str, bool]:
     m = list(_DBA.finditer(s))
     if m and s[m[-1].end() :].strip():
         s = s[m[-1].end() :]
-    s = re.sub(r"\s*\([^()]*\)\s*$", "", s)
-    s = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", s) if not s.isupper() else s
-    s = re.sub(r"'s\b|(?<=[a-z])'(?=s\b)", "s", s.lower())
-    tokens = [SHORT.get(t, t) for t in re.findall(r"[a-z0-9]+", s)]
+    s = _ASIDE.sub("", s) if "(" in s else s
+    s = _CAMEL.sub(" ", s) if not s.isupper() else s
+    s = _OWNER.sub("s", s.lower()) if "'" in s else s.lower()
+    tokens = [SHORT.get(t, t) for t in _WORD.findall(s)]
     tokens = [t for t in tokens if t not in IDLE or len(t) == 1]
     while len(tokens) > 1 and (tokens[-1] in LEGAL or tokens[-3:] == ["l", "l", "c"]):
         del tokens[-3 if tokens[-3:] == ["l", "l", "c"] else -1 :]
@@ -136,11 +138,24 @@ class Trie:
     def near(self, word: str, most: int) -> set[int]:
         """Items of the words within ``most`` edits (swaps of neighbours count one).
 
-        A state of the automaton is the band of edit counts around the depth, 2 * most + 1 cells wide.
+        A state of the automaton is the band of edit counts around the depth, 2 * most + 1 cells wide. Along the
+        word itself the counts are the differences of the depths, so only branches off it are counted.
         """
         out: set[int] = set()
         n, over = len(word), most + 1
-        stack = [(self.root, 0, 0, list(range(min(n, most) + 1)), 0, None, "")]
+        stack: list = []
+        node, depth, lo0, row0, last = self.root, 0, 0, None, ""
+        while node:
+            lo = depth - most if depth > most else 0
+            row = [abs(depth - j) for j in range(lo, min(n, depth + most) + 1)]
+            on = word[depth] if depth < n else None
+            for c, child in node.items():
+                if c == "":
+                    if n - depth <= most:
+                        out.update(child)
+                elif c != on:
+                    stack.append(({c: child}, depth, lo, row, lo0, row0, last))
+            node, depth, lo0, row0, last = node.get(on), depth + 1, lo, row, on
         while stack:
             node, depth, lo, row, lo0, row0, last = stack.pop()
             deep = depth + 1
@@ -261,10 +276,11 @@ def shard_keys(core: str, cut: bool = False) -> list[str]:
 
 
 class Sets:
-    """Numbers 0 to n - 1 in disjoint sets, known by their smallest."""
+    """Numbers 0 to n - 1 in disjoint sets, known by their smallest; ``left`` is the number of sets."""
 
     def __init__(self, n: int):
         self.root = list(range(n))
+        self.left = n
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -276,31 +292,38 @@ class Sets:
         a, b = self.find(i), self.find(j)
         if a != b:
             self.root[max(a, b)] = min(a, b)
+            self.left -= 1
 
     def all(self) -> list[int]:
         return [self.find(i) for i in range(len(self.root))]
 
 
 def link_alike(names: list[tuple[str, bool]], kinds: str = "ecpr") -> list[int]:
-    """Cluster numbers of distinct (core, cut) in one shard by the checks on pairs, of the kinds of ``shard_keys``."""
+    """Cluster numbers of distinct (core, cut) in one shard by the checks on pairs, of the kinds of ``shard_keys``.
+
+    The checks only ever join, so they end once all names are one cluster.
+    """
     sets = Sets(len(names))
     forms = [(core.replace(" ", ""), "".join(sorted(core.split()))) for core, _ in names]
     if {*kinds} & {*"ecp"}:
-        trie = Trie()
+        trie, first = Trie(), {}
         for i, (whole, perm) in enumerate(forms):
             for w in {whole, perm}:
                 trie.add(w, i)
+                if "e" in kinds:
+                    sets.join(first.setdefault(w, i), i)
         for i, (whole, perm) in enumerate(forms):
             core, cut = names[i]
-            if "e" in kinds:
-                for w in {whole, perm}:
-                    for j in trie.near(w, bound(w)):
-                        sets.join(i, j)
-            if len(whole) >= (4 if cut else 6) and ("c" if cut else "p") in kinds:
+            if sets.left > 1 and len(whole) >= (4 if cut else 6) and ("c" if cut else "p") in kinds:
                 for j in trie.starting(whole):  # cut off, or the rest left out
                     if cut or names[j][0].startswith(core + " "):
                         sets.join(i, j)
-    if "r" in kinds:  # one token misspelt out of order
+        for w, i in first.items():
+            if sets.left == 1:
+                break
+            for j in trie.near(w, bound(w)):
+                sets.join(i, j)
+    if "r" in kinds and sets.left > 1:  # one token misspelt out of order
         words = [set(core.split()) for core, _ in names]
         by: dict[int, list[tuple[str, int]]] = {}
         for i, tokens in enumerate(words):

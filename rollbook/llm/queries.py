@@ -12,13 +12,6 @@ def _mix(spark, sf_dir):
     return mixing.mix(sizes, targets), targets, sizes
 
 
-def _fused(spark, sf_dir, what):
-    members = load(spark, sf_dir, "members")
-    rows = entities.member_features(members)
-    business = cut(entities.businesses(members, rows), "businesses")
-    return what(members, business, load(spark, sf_dir, "directories"), rows)
-
-
 def _linked(spark, sf_dir):
     members = load(spark, sf_dir, "members")
     rows = entities.member_features(members)
@@ -37,9 +30,9 @@ def _businesses(spark, sf_dir):
 
 
 QUERIES = {
-    "p1_found": lambda s, d: _fused(s, d, survivors.survivors).select("group_id", "field", "member_id"),
-    "p1_fused": lambda s, d: _fused(s, d, survivors.survivors),
-    "p1_sources": lambda s, d: _fused(s, d, survivors.sources),
+    "p1_found": lambda s, d: survivors.found(load(s, d, "members"), load(s, d, "directories")),
+    "p1_fused": lambda s, d: survivors.survivors(load(s, d, "members"), None, load(s, d, "directories")),
+    "p1_sources": lambda s, d: survivors.sources(load(s, d, "members"), None, load(s, d, "directories")),
     "p2_found": lambda s, d: _linked(s, d).select("member_id", "npi"),
     "p2_matches": _linked,
     "p3_found": lambda s, d: entities.variants(*_businesses(s, d)),

@@ -122,9 +122,10 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"^[ >*#\-–]+| +$", "")
 
 
-#: Signs without which there is no placeholder, and signs that need tidying before messages are read.
-_SIGNS = r"[{}\[\]<>%*@_~$#&]"
-_UNTIDY = r"[<>&*#\u200b\u200c\u200d\ufeff\u00ad\n\t]|^[ \-–]|  | $|[^\x00-\x7f] "
+#: Signs without which there is no placeholder.
+_SIGNS = r"[{}\[\]<>%*@_~$#]|&lt;"
+#: What ``_bare`` changes; any other text is tidy.
+_UNTIDY = r"[<\u200b\u200c\u200d\ufeff\u00ad\t-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|(?i)&nbsp;|^[ >*#\-–]|  | $"
 
 
 def is_residue(c: Column) -> Column:
