@@ -143,3 +143,101 @@ def schema_changes(dumps: DataFrame) -> DataFrame:
         retyped = F.when((F.size(was["kinds"]) > 0) & (F.size(now["kinds"]) > 0) & (was["kinds"] != now["kinds"]), "retyped")
         out += [F.when(c.isNotNull(), F.struct(F.lit(f).alias("field"), c.alias("change"))) for c in (added, renamed, retyped)]
     return seq.select("dump_id", F.explode(F.array_compact(F.array(*out))).alias("c")).select("dump_id", "c.field", "c.change")
+
+
+#: Levels of nesting that get paths of their own; what lies deeper stays in its object or list.
+DEPTH = 5
+
+
+def values(files: DataFrame) -> DataFrame:
+    """(dump_id, place, rec, source_path, path, field, json_type, value): every value of the metadata and of each record.
+
+    ``path`` is the source's path in one spelling (lower case, no separators in keys), with ``[]`` for the
+    elements of a list; ``field`` is the canonical field of the path, or the path itself.
+    """
+    spark = files.sparkSession
+    level = spark.sql(
+        "select dump_id, 'metadata' as place, 0 as rec, '' as source_path, try_variant_get(v, '$.metadata', 'variant') as value from {f} where schema_of_variant(v) like 'OBJECT%' "
+        "union all select f.dump_id, 'members', m.pos, '', m.value from {f} f, lateral variant_explode(case when schema_of_variant(f.v) like 'ARRAY%' then f.v else try_variant_get(f.v, '$.members', 'variant') end) m",
+        f=files,
+    )
+    out = None
+    for depth in range(DEPTH):
+        if depth:
+            level = level.where("json_type in ('object', 'list')")
+        level = spark.sql(
+            "select l.dump_id, l.place, l.rec, case when e.key is null then concat(l.source_path, '[]') when l.source_path = '' then e.key else concat(l.source_path, '.', e.key) end as source_path, e.value from {l} l, lateral variant_explode(l.value) e",
+            l=level.where("value is not null"),
+        )
+        level = level.withColumn("json_type", _kind(F.expr("schema_of_variant(value)")))
+        out = level if out is None else out.unionByName(level)
+    out = out.withColumn("path", F.lower(F.regexp_replace("source_path", "[-_ ]", "")))
+    return out.withColumn("field", F.coalesce(_canonical(F.col("place"), F.col("path")), F.col("path"))).select("dump_id", "place", "rec", "source_path", "path", "field", "json_type", "value")
+
+
+def unified_paths(dumps: DataFrame) -> DataFrame:
+    """One consistent table of all paths: a row per value, with typed branches and a canonical string.
+
+    Objects and lists keep their JSON text besides the rows of what they hold. JSON null gives nulls in all branches.
+    """
+    e = values(parsed(dumps))
+    text = F.expr("try_variant_get(value, '$', 'string')")
+    held = F.col("json_type").isin("object", "list")
+    return e.select(
+        "dump_id", "place", "rec", "field", "source_path", "json_type",
+        F.when(F.col("json_type") == "text", text).alias("as_text"), F.when(F.col("json_type") == "number", F.expr("try_variant_get(value, '$', 'double')")).alias("as_number"),
+        F.when(F.col("json_type") == "flag", F.expr("try_variant_get(value, '$', 'boolean')")).alias("as_flag"), F.when(held, F.to_json("value")).alias("as_json"),
+        F.when(held, F.to_json("value")).otherwise(text).alias("canonical"),
+    )
+
+
+def path_types(dumps: DataFrame) -> DataFrame:
+    """(place, field, json_type, values, files): the tagged union of each path over all files; null for JSON null."""
+    e = values(parsed(dumps))
+    return e.groupBy("place", "field", "json_type").agg(F.count("*").alias("values"), F.countDistinct("dump_id").alias("files"))
+
+
+def _pairs(files: DataFrame) -> DataFrame:
+    """(dump_id, was): each file and the one before it of its source."""
+    base = files.select("dump_id", F.coalesce("source_url", F.lit("")).alias("source_url"), "scraped_at")
+    seq = _before(base.withColumn("id", F.col("dump_id")), "source_url", ["scraped_at", "dump_id"], ["id"])
+    return seq.where("prev is not null").select("dump_id", F.col("prev.id").alias("was"))
+
+
+def path_changes(dumps: DataFrame) -> DataFrame:
+    """(dump_id, place, field, change): ``schema_changes`` for every path, against the file before it of the same source."""
+    files = parsed(dumps)
+    pairs = _pairs(files)
+    per = values(files).groupBy("dump_id", "place", "field").agg(F.sort_array(F.collect_set("source_path")).alias("keys"), F.sort_array(F.collect_set("json_type")).alias("kinds"))
+    now = per.join(pairs.select("dump_id"), "dump_id")
+    was = per.select(F.col("dump_id").alias("was"), "place", "field", F.col("keys").alias("keys0"), F.col("kinds").alias("kinds0")).join(pairs, "was").drop("was")
+    both = now.join(was, ["dump_id", "place", "field"], "full")
+    change = F.array_compact(F.array(
+        F.when(F.col("keys0").isNull(), "added").when(F.col("keys").isNull(), "removed"), F.when(F.col("keys") != F.col("keys0"), "renamed"),
+        F.when((F.size("kinds") > 0) & (F.size("kinds0") > 0) & (F.col("kinds") != F.col("kinds0")), "retyped"),
+    ))
+    return both.select("dump_id", "place", "field", F.explode(change).alias("change"))
+
+
+#: Share of the fewer different values that two paths have in common from which on one took the place of the other.
+OVERLAP = 0.5
+
+
+def path_renames(dumps: DataFrame) -> DataFrame:
+    """(dump_id, place, old, new, shared, overlap): paths that vanished where another of like values appeared.
+
+    Both have two different scalar values or more; no list of known names takes part.
+    """
+    files = parsed(dumps)
+    pairs = _pairs(files)
+    v = values(files).where("json_type in ('text', 'number')").select("dump_id", "place", "path", F.xxhash64("json_type", F.expr("try_variant_get(value, '$', 'string')")).alias("x")).distinct()
+    seen = v.select("dump_id", "place", "path").distinct()
+    now = v.join(pairs.select("dump_id", "was"), "dump_id")
+    was = v.withColumnRenamed("dump_id", "was").join(pairs, "was")
+    new = now.join(seen.withColumnRenamed("dump_id", "was"), ["was", "place", "path"], "left_anti").select("dump_id", "place", F.col("path").alias("new"), "x")
+    old = was.join(seen, ["dump_id", "place", "path"], "left_anti").select("dump_id", "place", F.col("path").alias("old"), "x")
+    met = old.join(new, ["dump_id", "place", "x"]).groupBy("dump_id", "place", "old", "new").agg(F.count("*").alias("shared"))
+    size = lambda df, c: df.groupBy("dump_id", "place", c).agg(F.count("*").alias(f"n_{c}"))
+    met = met.join(size(old, "old"), ["dump_id", "place", "old"]).join(size(new, "new"), ["dump_id", "place", "new"])
+    few = F.least("n_old", "n_new")
+    return met.where((few >= 2) & (F.col("shared") >= OVERLAP * few)).select("dump_id", "place", "old", "new", "shared", F.round(F.col("shared") / few, 4).alias("overlap"))

@@ -9,6 +9,10 @@ QUERIES = {
     "p4_found": lambda s, d: packed.split_packed(load(s, d, "members")),
     "p6_found": lambda s, d: drift.schema_changes(load(s, d, "dump_files")),
     "p6_unified": lambda s, d: drift.unified(load(s, d, "dump_files")),
+    "p6_table": lambda s, d: drift.unified_paths(load(s, d, "dump_files")),
+    "p6_paths": lambda s, d: drift.path_types(load(s, d, "dump_files")),
+    "p6_changes": lambda s, d: drift.path_changes(load(s, d, "dump_files")),
+    "p6_renames": lambda s, d: drift.path_renames(load(s, d, "dump_files")),
 }
 _NAMES = {f: ", ".join(f"'{k}'" for k in keys) for f, keys in drift.ALIASES.items()}
 SQL = {
