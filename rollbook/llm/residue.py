@@ -2,8 +2,8 @@
 
 Placeholders are found by one small grammar per delimiter (``{{x}}``, ``{x}``, ``${x}``, ``%x%`` and so
 on) around one identifier, never around written words, so braces and brackets in real sentences do not
-count. Code blocks are cut out first, and a text that talks about template syntax counts only where
-placeholders make up much of it. All other kinds must make up the field: their patterns are anchored at
+count. Code blocks are cut out first, and in a text that talks about template syntax a placeholder near such
+words counts only where placeholders make up much of the text. All other kinds must make up the field: their patterns are anchored at
 its start, after markup. Everything is a JVM-side regular expression in one pass over the table.
 """
 
@@ -12,18 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# bounded loops: the JVM's matcher recurses once per round of a group
-_ID = r"[A-Za-z_][A-Za-z0-9_]{0,60}(?:[.\-][A-Za-z_][A-Za-z0-9_]{0,60}){0,8}"
+# possessive loops: any length, and no recursion in the JVM's matcher
+_ID = r"[A-Za-z_][A-Za-z0-9_]*+(?:[.\-][A-Za-z_][A-Za-z0-9_]*+)*+"
 _TAGS = r"(?:/?(?:p|br|b|i|u|em|strong|span|div|a|ul|ol|li|h[1-6]|hr|img|table|tr|td|th|code|pre|small|sup|sub)\b)"
 #: One grammar per delimiter.
 PLACEHOLDERS = [
-    rf"\{{\{{\{{?\s*[#/^&>]?\s*{_ID}(?:\s*\|\s*\w+){{0,8}}\s*\}}\}}\}}?",
+    rf"\{{\{{\{{?\s*[#/^&>]?\s*{_ID}(?:\s*+\|\s*+\w++)*+\s*\}}\}}\}}?",
     rf"\{{%-?\s*{_ID}\s*-?%\}}",
     rf"[$#]\{{\s*{_ID}\s*\}}",
     rf"\{{!\s*{_ID}\s*!?\}}",
     rf"\{{\s*{_ID}\s*\}}",
     rf"\[\[\s*{_ID}\s*\]\]",
-    rf"\[{_ID}\]",
+    rf"\[(?!sic\]){_ID}\]",
     rf"<[%?]=?\s*\$?{_ID}\s*[%?]>",
     rf"(?:<(?!{_TAGS})|&lt;(?!{_TAGS})){_ID}(?:>|&gt;)",
     r"(?:<|&lt;)(?:Your |Insert )?[A-Z][a-z]+ (?:Name|Here|Title|Phone|City|Address)(?:>|&gt;)",
@@ -31,14 +31,19 @@ PLACEHOLDERS = [
     rf"(?<![0-9%])%{_ID}%(?!\w)",
     rf"\*\|\s*{_ID}\s*\|\*",
     rf"@@{_ID}@@",
-    rf"(?<![A-Za-z0-9_])__{_ID}?[A-Za-z0-9]__(?![A-Za-z0-9_])",
+    r"(?<![A-Za-z0-9_])__[A-Za-z_][A-Za-z0-9_.\-]*?[A-Za-z0-9]__(?![A-Za-z0-9_])",
     rf"(?<![A-Za-z0-9~])~{_ID}~(?![A-Za-z0-9])",
     rf"(?<![A-Za-z0-9$])\$[A-Za-z_][A-Za-z0-9_.]*\$",
 ]
 PLACEHOLDER = "|".join(f"(?:{p})" for p in PLACEHOLDERS)
 _CODE = r"(?s)```.*?```|`[^`\n]+`|<(code|pre)\b.*?</\1>|&lt;(code|pre)\b.*?&lt;/\2&gt;"
-_TUTORIAL = r"(?i)\b(syntax|tutorial|snippet|merge tags?|template (?:language|engine|variable|tag)s?|for example|e\.g\.|literally|placeholder (?:such as|like|looks))\b"
+_TUTORIAL = r"(?i:\b(?:syntax|tutorial|snippet|merge tags?|template (?:language|engine|variable|tag)s?|literally|placeholder (?:such as|like|looks))\b)"
+#: A placeholder within this many characters of such words is one that the text talks about.
+CONTEXT = 80
+#: Share of a text from which on its placeholders count in spite of such words.
 DENSE = 0.4
+#: A placeholder that no such word is near. Signs come first, so that little is looked at twice.
+_APART = rf"(?s)(?=[{{\[<%*@_~$#]|&lt;)(?<!{_TUTORIAL}.{{0,{CONTEXT}}})(?:{PLACEHOLDER})(?!.{{0,{CONTEXT}}}{_TUTORIAL})"
 
 _JS = r"(?:java ?script|js|scripts?|scripting)"
 _SEE = r"(?:page|listing|profile|directory|map|app|site|record|member|content|details)"
@@ -58,7 +63,7 @@ MESSAGES = [
     r"description (?:to be supplied|goes here|coming)",
     r"add (?:a|your) (?:short )?(?:description|bio|summary|text)\b.*\bhere\b",
     r"(?:click|double-click|tap) (?:here )?to (?:edit|add|change)\b",
-    r"x{3,}(?:\s+x{2,}){0,50}(?:\s+todo.*)?$",
+    r"x{3,}+(?:\s++x{2,}+)*+(?:\s+todo.*)?$",
     r"todo\b.*\b(?:copy|text|client|write)",
     r"coming soon[.!…]*$",
     r"\[?(?:insert|enter|add|put) (?:your |the )?(?:business|company|member|firm|organi[sz]ation|display|listing)(?:'s)? (?:name|title)(?: here)?\]?$",
@@ -137,7 +142,8 @@ def is_residue(c: Column) -> Column:
     plain = F.regexp_replace(s, _CODE, " ")
     left = F.length(F.regexp_replace(plain, PLACEHOLDER, ""))
     dense = (F.length(plain) - left) >= DENSE * F.length(plain)
-    marked = F.when(s.rlike(_SIGNS), plain.rlike(PLACEHOLDER) & (~s.rlike(_TUTORIAL) | dense)).otherwise(F.lit(False))
+    told = s.rlike(_TUTORIAL) & ~dense
+    marked = F.when(s.rlike(_SIGNS), F.when(told, plain.rlike(_APART)).otherwise(plain.rlike(PLACEHOLDER))).otherwise(F.lit(False))
     tidy = F.when(s.rlike(_UNTIDY), _bare(s)).otherwise(s)
     return marked | tidy.rlike(_MESSAGE)
 
