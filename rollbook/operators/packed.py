@@ -36,6 +36,8 @@ ROUNDS = 4
 OFTEN = 5
 #: A piece that no other string shows has this count.
 FLOOR = 0.01
+#: Pieces up to which every run of a chunk is a candidate, and characters of a run in chunks that have more.
+PIECES, LONG = 64, 80
 
 _STRONG = re.compile(r"(?:^|(?<=\s))\(?\d{1,2}[.)]\s+|\s*(?:[;|\t\r\n•·‣▪◦]\s*(?:[-*–]\s+)?)+")
 _WEAK = re.compile(r"\s*[,/]\s*")
@@ -101,7 +103,7 @@ def fold(value: str) -> str:
 
 
 def arcs(chunk: str) -> list[tuple[int, int, str]]:
-    """All candidate values of a weak chunk: pieces i..j-1, as written."""
+    """All candidate values of a weak chunk: pieces i..j-1, as written; in chunks of over ``PIECES`` pieces those of up to ``LONG`` characters."""
     ps, ds = pieces(chunk)
     out = []
     for i in range(len(ps)):
@@ -109,7 +111,7 @@ def arcs(chunk: str) -> list[tuple[int, int, str]]:
         out.append((i, i + 1, text))
         for j in range(i + 1, len(ps)):
             text += ds[j - 1] + ps[j]
-            if len(text) > 80:
+            if len(ps) > PIECES and len(text) > LONG:
                 break
             out.append((i, j + 1, text))
     return out
