@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents per language that the centroids are fitted on.
 SAMPLE = 400
+#: Characters up to which a document may be in that sample; the sample holds whole texts.
+LONGEST = 20_000
 #: Centroids per language, and how far each is drawn to the mean of its language, so that no centroid
 #: stands for one odd sentence.
 CENTROIDS = 32
@@ -217,9 +219,10 @@ def fit(sample: list[tuple[str, str]], df: np.ndarray, total: int) -> Model:
 def train(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     """Document frequencies over all documents; centroids on at most ``per_language`` labelled documents per language."""
     df, total = document_frequencies(docs)
-    labelled = docs.select(label_code(F.col("lang")).alias("lang"), "text", F.xxhash64("doc_id", "text").alias("o")).where("lang is not null and length(text) > 40")
+    sized = (F.length("text") > 40) & (F.length("text") <= LONGEST)
+    labelled = docs.where(sized).select(label_code(F.col("lang")).alias("lang"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("o")).where("lang is not null")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o"))
-    rows = labelled.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", F.substring("text", 1, 20_000).alias("text")).collect()
+    rows = labelled.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "text").collect()
     return fit([(r["lang"], r["text"]) for r in rows], df, total)
 
 
