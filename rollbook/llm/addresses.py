@@ -153,10 +153,11 @@ def parse(text: str | None, g: Gazetteer) -> tuple | None:
         direction, core, kind = _street(words)
         if core:
             return (m[4], m[6], "", m[1].lstrip("0") or "0", direction, core, kind, m[3] or "")
-    s = _COUNTRY.sub(", ", s)
+    # plain tests for parts of a pattern come before the pattern
+    s = _COUNTRY.sub(", ", s) if "us" in s or "u.s" in s or "united" in s else s
     s = _DOTTED_END.sub(r"\1\2", s) if "." in s else s
     box = unit = zip_ = ""
-    m = _BOX.search(s)
+    m = _BOX.search(s) if any(x in s for x in ("box", "ob", "o.b", "o b", "o. b")) else None
     if m:
         box = m.group(1).lstrip("0") or "0"
         s = s[: m.start()] + "," + s[m.end() :]
@@ -169,7 +170,7 @@ def parse(text: str | None, g: Gazetteer) -> tuple | None:
     if m:
         unit = m.group(1)
         s = s[: m.start()] + "," + s[m.end() :]
-    s = _BLDG.sub(",", s)
+    s = _BLDG.sub(",", s) if any(x in s for x in ("bldg", "building", "plaza", "tower", "center", "centre", "mall")) else s
     place = state = ""
     hit = None
     if zip_ in g.zip:
@@ -443,7 +444,10 @@ def locations(tuples: DataFrame) -> DataFrame:
             held["x"] = Lexicon(shared.value)
         return cores.map(lambda c: sorted(street_keys(held["x"].fix(c))))
 
-    boxes = tuples.where("box != ''").select("id", F.min("id").over(_over("place", "box")).alias("loc"))
+    # a box belongs to its place, or to its postcode where no place is known
+    area = F.when(F.col("place") == "", F.concat(F.lit("?"), "zip")).otherwise(F.col("place")).alias("area")
+    at = tuples.where("box != ''").select("id", area, "box")
+    boxes = at.join(at.groupBy("area", "box").agg(F.min("id").alias("loc")), ["area", "box"]).select("id", "loc")
     streets = tuples.where("box = ''")
     size = streets.groupBy("place", "number").agg(F.count("*").alias("size"))
     one = streets.join(size.where(F.col("size") == 1).select("place", "number"), ["place", "number"]).select("id", F.col("id").alias("loc"))
@@ -467,12 +471,6 @@ def locations(tuples: DataFrame) -> DataFrame:
     return out
 
 
-def _over(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
 ADDRESS_FIELDS = ("street_address", "mailing_address")
 
 
