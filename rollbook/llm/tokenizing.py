@@ -72,13 +72,29 @@ def vocabulary(words: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     return words.mapInPandas(encode, "word string, n bigint, ids array<int>")
 
 
+def whole_words(spark: SparkSession, tokenizer: str, folder: str) -> DataFrame:
+    """(word, id): the entries of the vocabulary that are text; a word that is one is encoded by it alone.
+
+    They hold most of all occurrences and are at most as many as the vocabulary (50,256), so they are broadcast.
+    """
+    rows = []
+    for b, i in ranks(f"{folder}/{tokenizer}.tiktoken").items():
+        try:
+            rows.append((b.decode("utf-8"), i))
+        except UnicodeDecodeError:  # part of a character
+            continue
+    return F.broadcast(spark.createDataFrame(pd.DataFrame(rows, columns=["word", "id"]), "word string, id int"))
+
+
 def _encoded(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
-    """(doc_id, h, pos, ids)."""
-    pre = pretokens(docs)
-    words = pre.groupBy("word").agg(F.count("*").alias("n"))
+    """(doc_id, h, pos, ids). Words that are no entry of the vocabulary are shuffled, and encoded once each."""
+    pre = pretokens(docs).join(whole_words(docs.sparkSession, tokenizer, folder), "word", "left")
+    rest = cut(pre.where("id is null").drop("id"), "p8-rest")
+    words = rest.groupBy("word").agg(F.count("*").alias("n"))
     vocab = cut(vocabulary(words, tokenizer, folder), "p8-words")
     total = vocab.agg(F.sum("n")).first()[0] or 0
-    return hot_join(pre, vocab.select("word", "ids"), "word", vocab.select("word", "n"), total)
+    built = hot_join(rest, vocab.select("word", "ids"), "word", vocab.select("word", "n"), total)
+    return pre.where("id is not null").select("doc_id", "h", "pos", F.array("id").alias("ids")).unionByName(built.select("doc_id", "h", "pos", "ids"))
 
 
 def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -95,12 +111,15 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKEN
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, h, tokens) of the texts that are not empty."""
-    pre = pretokens(docs.select("doc_id", "text").distinct()).groupBy("doc_id", "h", "word").agg(F.count("*").alias("k"))
-    words = pre.groupBy("word").agg(F.sum("k").alias("n"))
+    docs = cut(docs.select("doc_id", "text").distinct(), "p9-texts")
+    pre = pretokens(docs).join(whole_words(docs.sparkSession, tokenizer, folder), "word", "left")
+    rest = cut(pre.where("id is null").groupBy("doc_id", "h", "word").agg(F.count("*").alias("k")), "p9-rest")
+    words = rest.groupBy("word").agg(F.sum("k").alias("n"))
     vocab = cut(vocabulary(words, tokenizer, folder).select("word", "n", F.size("ids").alias("size")), "p9-words")
     total = vocab.agg(F.sum("n")).first()[0] or 0
-    sized = hot_join(pre, vocab.select("word", "size"), "word", vocab.select("word", "n"), total)
-    return sized.groupBy("doc_id", "h").agg(F.sum(F.col("k") * F.col("size")).alias("tokens"))
+    sized = hot_join(rest, vocab.select("word", "size"), "word", vocab.select("word", "n"), total).select("doc_id", "h", (F.col("k") * F.col("size")).alias("tokens"))
+    known = pre.where("id is not null").groupBy("doc_id", "h").agg(F.count("*").alias("tokens"))
+    return known.unionByName(sized).groupBy("doc_id", "h").agg(F.sum("tokens").alias("tokens"))
 
 
 def token_bytes(spark: SparkSession, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
