@@ -59,10 +59,14 @@ def directory_domains(members: DataFrame) -> DataFrame:
     return members.select("source_url").distinct().select(domain(host(F.col("source_url"))).alias("dom")).distinct()
 
 
-def own_host(rows: DataFrame, members: DataFrame) -> DataFrame:
+def known_directories(members: DataFrame) -> DataFrame:
+    """(dom, _d): ``directory_domains``, written."""
+    return cut(directory_domains(members).withColumn("_d", F.lit(True)), "entity-directories")
+
+
+def own_host(rows: DataFrame, known: DataFrame) -> DataFrame:
     """``rows`` with ``host`` set to null where it is a directory's. Directories are few (120 in the test tables), but
     their number is not bounded, so their domains are counted before they are broadcast."""
-    known = cut(directory_domains(members).withColumn("_d", F.lit(True)), "entity-directories")
     flagged = look_up(rows.withColumn("dom", domain(F.col("host"))), known, "dom", "left")
     return flagged.withColumn("host", F.when(F.col("_d").isNull(), F.col("host"))).drop("_d", "dom")
 
@@ -186,10 +190,10 @@ def _cluster_udf(shards: pd.Series) -> pd.DataFrame:
 FEATURES = ["core", "trade", "cut", "phone", "fax", "host", "place", "spot", "box"]
 
 
-def member_features(members: DataFrame, extra: list[str] = []) -> DataFrame:
+def member_features(members: DataFrame, extra: list[str] = [], known: DataFrame | None = None) -> DataFrame:
     """(member_id, *extra, *FEATURES, h, k) of all rows, written once; ``h`` and ``k`` are hashes of the features, 128 bits
     together."""
-    own = own_host(featured(members, "member_id", extra), members)
+    own = own_host(featured(members, "member_id", extra), known_directories(members) if known is None else known)
     return cut(own.select("member_id", *extra, *FEATURES).withColumns({"h": F.xxhash64(*FEATURES), "k": F.xxhash64(F.lit(1), *FEATURES)}), "entity-rows")
 
 
@@ -242,14 +246,15 @@ def profile_businesses(rows: DataFrame) -> DataFrame:
 
 
 def businesses(members: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """(member_id, business, named): the smallest ``member_id`` of each row's business, and whether the row has a usable name.
+    """(member_id, business, named): the smallest ``member_id`` of each row's business, and whether the row has a usable name;
+    also ``s`` where ``rows`` have it.
 
     Rows with nothing to link by are businesses of their own. Namesakes and branches in other places
     stay apart: names only count within shared evidence.
     """
     rows = member_features(members) if rows is None else rows
-    done = rows.select("member_id", "h", "k", F.col("core").isNotNull().alias("named")).join(profile_businesses(rows).drop("n"), ["h", "k"], "left")
-    return done.select("member_id", F.coalesce("business", "member_id").alias("business"), "named")
+    done = rows.select("member_id", "h", "k", *[c for c in rows.columns if c == "s"], F.col("core").isNotNull().alias("named")).join(profile_businesses(rows).drop("n"), ["h", "k"], "left")
+    return done.drop("h", "k").withColumn("business", F.coalesce("business", "member_id"))
 
 
 def _grouped(linked: DataFrame, *keys: str) -> DataFrame:
@@ -402,7 +407,9 @@ def persons(members: DataFrame, business: DataFrame) -> DataFrame:
     Contacts of one business are linked by name; across businesses only by a mailbox of their own
     together with the name. Contacts whose name has no two parts are persons of their own.
     """
-    flat = members.select("member_id", F.posexplode("contacts").alias("pos", "c")).select("member_id", "pos", "c.name", F.lower(F.regexp_replace(F.regexp_replace("c.email", r"(?i)^\s*mailto:", ""), r"\?.*$|\s+", "")).alias("email"))
+    flat = members.select("member_id", F.posexplode("contacts").alias("pos", "c")).select("member_id", "pos", "c.name", F.lower("c.email").alias("email"))
+    marked = F.col("email").contains("mailto:") | F.col("email").rlike(r"[?\s]")
+    flat = flat.withColumn("email", F.when(marked, F.regexp_replace(F.regexp_replace("email", r"^\s*mailto:", ""), r"\?.*$|\s+", "")).otherwise(F.col("email")))
     flat = flat.where("name is not null and trim(name) != ''").withColumn("_n", _person("name"))
     box = F.when(F.col("email").rlike(r"^[^@\s]+@[^@\s]+\.[a-z]+$") & ~F.substring_index("email", "@", 1).isin(*SHARED_BOXES), F.xxhash64("email"))
     sound = ~F.col("name").rlike(r"[{}\[\]<>%*@_~$#&]") | ~is_residue(F.col("name"))
@@ -435,8 +442,9 @@ def variants(members: DataFrame, business: DataFrame) -> DataFrame:
     Names cut off count. Blank names, residues, and company names that are a mail address, web address
     or phone number have no pairs. Repeated rows pair where their strings differ.
     """
-    firm = members.select("member_id", F.xxhash64("company_name").alias("s")).join(business.where("named"), "member_id")
-    firm = firm.select(F.col("business").alias("g"), "s", F.lit(-1).alias("pos"), "member_id")
+    if "s" not in business.columns:
+        business = business.join(members.select("member_id", F.xxhash64("company_name").alias("s")), "member_id")
+    firm = business.where("named").select(F.col("business").alias("g"), "s", F.lit(-1).alias("pos"), "member_id")
     who = persons(members, business).select(F.col("person").alias("g"), "s", "pos", "member_id")
     # a person's number may be a business's too
     both = firm.unionByName(who).withColumn("g", F.xxhash64("g", F.col("pos") < 0))

@@ -120,19 +120,26 @@ def maximise(x: np.ndarray, n: np.ndarray, g: np.ndarray) -> tuple:
 def match(pairs: DataFrame) -> DataFrame:
     """(business, npi, confidence): pairs that keep their responsibility under the constraints, confidence over 0.5."""
     spark = pairs.sparkSession
-    grid = pairs.groupBy(*DIMS).agg(F.count("*").alias("n")).collect()  # at most GRID rows
+    # a pair without rivals keeps its responsibility in every round, so only rivals are looked at again
+    count = lambda key: F.count("*").over(Window.partitionBy(key))
+    pairs = cut(pairs.withColumn("rival", (count("npi") > 1) | (count("business") > 1)), "p2-rivals")
+    grid = pairs.groupBy(*DIMS).agg(F.count("*").alias("n"), F.count_if(~F.col("rival")).alias("alone")).collect()  # at most GRID rows
     if not grid:
         return pairs.select("business", "npi", F.lit(0.0).alias("confidence")).limit(0)
     x = np.array([[r[d] for d in DIMS] for r in grid], dtype=float)
     n = np.array([r["n"] for r in grid], dtype=float)
+    alone = np.array([r["alone"] for r in grid], dtype=float)
     # start: pairs that agree on the name and on a number or place
     g = ((x[:, 0] >= 0.8) & ((x[:, 1] == 1) | (x[:, 2] == 1))).astype(float) * 0.9 + 0.05
     model = maximise(x, n, g)
 
-    def constrained(g: np.ndarray) -> DataFrame:
-        """The pairs with ``p``, and whether they keep it: of rival pairs the likeliest does, the others lose theirs."""
+    def scored_by(g: np.ndarray, which: str) -> DataFrame:
         cells = spark.createDataFrame([(*map(float, v), float(p)) for v, p in zip(x, g)], ", ".join(f"{d} double" for d in DIMS) + ", p double")
-        scored = pairs.join(F.broadcast(cells), list(DIMS))
+        return pairs.where(which).join(F.broadcast(cells), list(DIMS))
+
+    def constrained(g: np.ndarray) -> DataFrame:
+        """Rival pairs with ``p``, and whether they keep it: the likeliest does, the others lose theirs."""
+        scored = scored_by(g, "rival")
         order = (F.col("p").desc(), (F.col("name") + F.col("phone") + F.col("address") + F.col("website")).desc())
         first = F.row_number().over(Window.partitionBy("npi").orderBy(*order, "business")) == 1
         # a business may be known by more than one registry row only if nothing tells them apart
@@ -141,23 +148,30 @@ def match(pairs: DataFrame) -> DataFrame:
 
     for _ in range(ROUNDS):
         g = posterior(x, model)
-        kept = {tuple(v[d] for d in DIMS): v["k"] / v["n"] for v in constrained(g).groupBy(*DIMS).agg(F.count("*").alias("n"), F.sum(F.col("keep").cast("int")).alias("k")).collect()}
-        model = maximise(x, n, g * np.array([kept[tuple(v)] for v in x.tolist()]))
-    marked = cut(constrained(posterior(x, model)), "p2-marked")
-    return marked.where("keep and p > 0.5").select("business", "npi", F.col("p").alias("confidence"), *DIMS)
+        kept = {tuple(v[d] for d in DIMS): v["k"] for v in constrained(g).where("keep").groupBy(*DIMS).agg(F.count("*").alias("k")).collect()}
+        model = maximise(x, n, g * (alone + np.array([kept.get(tuple(v), 0) for v in x.tolist()])) / n)
+    g = posterior(x, model)
+    marked = cut(constrained(g).where("keep").drop("keep").unionByName(scored_by(g, "not rival")), "p2-marked")
+    return marked.where("p > 0.5").select("business", "npi", F.col("p").alias("confidence"), *DIMS)
 
 
-def linked(members: DataFrame, business: DataFrame, registry: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+def linked(members: DataFrame, business: DataFrame | None, registry: DataFrame) -> DataFrame:
     """(member_id, npi, confidence): every row of a business that a registry row describes.
 
     By company_name, phone, street_address and website (and the fax and mailing address that members'
     rows are grouped by). Nulls and unusable values speak neither for nor against a pair. Empty tables
-    give no rows.
+    give no rows. ``business`` is that of ``entities.businesses`` where it is known already.
     """
-    rows = entities.member_features(members) if rows is None else rows
+    known = entities.known_directories(members)
+    rows = entities.member_features(members, known=known)
     side = ["core", "phone", "fax", "host", "place", "spot"]
-    firms = rows.join(business.select("member_id", "business"), "member_id").select("business", *side).distinct()
-    reg = entities.own_host(entities.featured(registry.withColumn("mailing_address", F.lit(None).cast("string")), "npi"), members).select("npi", *side)
+    if business is None:
+        named = rows.select("member_id", "h", "k", *side).join(entities.profile_businesses(rows).drop("n"), ["h", "k"], "left")
+        business = cut(named.select("member_id", F.coalesce("business", "member_id").alias("business"), *side), "p2-members")
+        firms = business.select("business", *side).distinct()
+    else:
+        firms = rows.join(business.select("member_id", "business"), "member_id").select("business", *side).distinct()
+    reg = entities.own_host(entities.featured(registry.withColumn("mailing_address", F.lit(None).cast("string")), "npi"), known).select("npi", *side)
     pairs = cut(candidates(firms, reg), "p2-pairs")
     got = match(pairs)
     # a pair of good posterior still needs a name, or both number and address, in common

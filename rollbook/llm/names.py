@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -33,7 +34,7 @@ TRADE = frozenset(
 )
 _DBA = re.compile(r"\b(?:d\s*/?\s*b\s*/?\s*a|d\.b\.a\.?|doing business as|t/a|trading as)\b\s*[:.]?\s*", re.I)
 _CUT = re.compile(r"(?:…|\.\s?\.+)\s*$")
-_BLANKS, _ASIDE, _CAMEL = re.compile(r"\s+"), re.compile(r"\s*\([^()]*\)\s*$"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+_ASIDE, _CAMEL = re.compile(r"\s*\([^()]*\)\s*$"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 _OWNER, _WORD = re.compile(r"'s\b|(?<=[a-z])'(?=s\b)"), re.compile(r"[a-z0-9]+")
 
 
@@ -42,12 +43,13 @@ def bare(s: str) -> str:
     if not s.isascii():
         s = unicodedata.normalize("NFKD", s)
         s = "".join(c for c in s if not unicodedata.combining(c) and c not in "\u200b\u200c\u200d\ufeff\u00ad").replace("’", "'").replace("‘", "'")
-    return _BLANKS.sub(" ", s).strip()
+    return " ".join(s.split())
 
 
 def cut_off(s: str) -> bool:
     """Ends in the dots of a name that was cut off."""
-    return bool(_CUT.search(s.rstrip()))
+    s = s.rstrip()
+    return s.endswith((".", "…")) and bool(_CUT.search(s))
 
 
 @lru_cache(maxsize=100_000)
@@ -55,8 +57,9 @@ def company(name: str) -> tuple[str, str, bool]:
     """(core, trade, cut): distinguishing tokens in order, trade tokens, whether the end is missing."""
     s = bare(name)
     cut = cut_off(s)
-    s = _CUT.sub("", s)
-    m = list(_DBA.finditer(s))
+    s = _CUT.sub("", s) if cut else s
+    low = s.lower()
+    m = list(_DBA.finditer(s)) if "/" in s or any(x in low for x in ("dba", "d b", "db a", "d.b", "doing", "trading")) else []
     if m and s[m[-1].end() :].strip():
         s = s[m[-1].end() :]
     s = _ASIDE.sub("", s) if "(" in s else s
@@ -298,6 +301,11 @@ class Sets:
         return [self.find(i) for i in range(len(self.root))]
 
 
+def _has_near(sizes: Counter, size: int, most: int) -> bool:
+    """Another word than this one has a length within the bound."""
+    return sum(sizes[size + d] for d in range(-most, most + 1)) > 1
+
+
 def link_alike(names: list[tuple[str, bool]], kinds: str = "ecpr") -> list[int]:
     """Cluster numbers of distinct (core, cut) in one shard by the checks on pairs, of the kinds of ``shard_keys``.
 
@@ -318,11 +326,13 @@ def link_alike(names: list[tuple[str, bool]], kinds: str = "ecpr") -> list[int]:
                 for j in trie.starting(whole):  # cut off, or the rest left out
                     if cut or names[j][0].startswith(core + " "):
                         sets.join(i, j)
+        sizes = Counter(map(len, first))
         for w, i in first.items():
             if sets.left == 1:
                 break
-            for j in trie.near(w, bound(w)):
-                sets.join(i, j)
+            if _has_near(sizes, len(w), bound(w)):
+                for j in trie.near(w, bound(w)):
+                    sets.join(i, j)
     if "r" in kinds and sets.left > 1:  # one token misspelt out of order
         words = [set(core.split()) for core, _ in names]
         by: dict[int, list[tuple[str, int]]] = {}
@@ -461,10 +471,11 @@ def last_keys(last: str) -> list[str]:
 
 def near_lasts(lasts: list[str]) -> list[list[int]]:
     """The other items whose last names are within the bound of each item's."""
-    trie = Trie()
+    trie, sizes = Trie(), Counter(map(len, lasts))
     for i, last in enumerate(lasts):
         trie.add(last, i)
-    return [sorted(j for j in trie.near(last, last_bound(last)) if j != i) for i, last in enumerate(lasts)]
+    near = lambda last: trie.near(last, last_bound(last)) if _has_near(sizes, len(last), last_bound(last)) else ()
+    return [sorted(j for j in near(last) if j != i) for i, last in enumerate(lasts)]
 
 
 def link_persons(names: list[tuple[str, str, str]]) -> list[int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rollbook.llm import addresses, entities, languages, linkage, mixing, residue, survivors, tokenizing
 from rollbook.work import cut, load
 
@@ -13,10 +15,7 @@ def _mix(spark, sf_dir):
 
 
 def _linked(spark, sf_dir):
-    members = load(spark, sf_dir, "members")
-    rows = entities.member_features(members)
-    business = cut(entities.businesses(members, rows), "businesses")
-    return linkage.linked(members, business, load(spark, sf_dir, "registry_members"), rows)
+    return linkage.linked(load(spark, sf_dir, "members"), None, load(spark, sf_dir, "registry_members"))
 
 
 def _segments(spark, sf_dir):
@@ -26,7 +25,8 @@ def _segments(spark, sf_dir):
 
 def _businesses(spark, sf_dir):
     members = load(spark, sf_dir, "members")
-    return members, cut(entities.businesses(members), "businesses")
+    rows = entities.member_features(members.withColumn("s", F.xxhash64("company_name")), ["s"])
+    return members, cut(entities.businesses(members, rows), "businesses")
 
 
 QUERIES = {
