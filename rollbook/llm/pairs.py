@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.work import cut
+from rollbook.work import cut, hashed
 
 
 def differing(rows: DataFrame, at: tuple[str, ...], label: str) -> DataFrame:
@@ -17,8 +17,8 @@ def differing(rows: DataFrame, at: tuple[str, ...], label: str) -> DataFrame:
     rows = cut(rows.select("g", "s", F.struct(*at).alias("a")), label)
     texts = rows.groupBy("g", "s").agg(F.lit(1).alias("one"))
     several = rows.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("g")
-    texts = cut(texts.join(several, "g").select("g", "s"), f"{label}-texts")
+    texts = cut(texts.join(hashed(several), "g").select("g", "s"), f"{label}-texts")
     both = texts.join(texts.select("g", F.col("s").alias("t")), "g").where("s < t")
-    half = rows.join(both, ["g", "s"]).select("g", F.col("t").alias("s"), F.col("a").alias("x"))
+    half = rows.join(both.hint("shuffle_hash"), ["g", "s"]).select("g", F.col("t").alias("s"), F.col("a").alias("x"))
     full = half.join(rows, ["g", "s"])
     return full.select(F.least("x", "a").alias("a"), F.greatest("x", "a").alias("b"))
