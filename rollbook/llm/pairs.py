@@ -19,6 +19,7 @@ def differing(rows: DataFrame, at: tuple[str, ...], label: str) -> DataFrame:
     several = rows.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("g")
     texts = cut(texts.join(hashed(several), "g").select("g", "s"), f"{label}-texts")
     both = texts.join(texts.select("g", F.col("s").alias("t")), "g").where("s < t")
+    # hashed, as it holds no text more often than its group has different ones
     half = rows.join(both.hint("shuffle_hash"), ["g", "s"]).select("g", F.col("t").alias("s"), F.col("a").alias("x"))
     full = half.join(rows, ["g", "s"])
     return full.select(F.least("x", "a").alias("a"), F.greatest("x", "a").alias("b"))
